@@ -1,0 +1,63 @@
+"""Queries pN_... over a data folder, with production parameters and whole tables."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import language, leakage, splitting, tokenize
+from quarry.sources.tables import table
+
+TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
+
+
+def oversized_items(spark: SparkSession, folder: str) -> DataFrame:
+    documents = splitting.oversized(table(spark, folder, "kb_documents"), "doc_id", "content", 2000, "document")
+    chunks = splitting.oversized(table(spark, folder, "chunks"), "id", "content", 1000, "chunk")
+    return documents.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return oversized_items(spark, folder).select("item_kind", "item_id")
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_items(oversized_items(spark, folder))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_passages(spark, folder).where(F.col("longest_run") >= 12).select("doc_id", "item_id")
+
+
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    model = language.fit_model(table(spark, folder, "lang_samples"))
+    return language.assign_languages(table(spark, folder, "documents"), "doc_id", "text", "lang", model)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_cases(p8_languages(spark, folder), "doc_id")
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p4_found": r"""
+            SELECT 'document' AS item_kind, doc_id AS item_id FROM kb_documents
+            WHERE length(regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')) > 2000 GROUP BY doc_id
+            UNION ALL
+            SELECT 'chunk', id FROM chunks
+            WHERE length(regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')) > 1000 GROUP BY id""",
+    }
