@@ -7,12 +7,20 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, leakage, splitting, tokenize
+from quarry.llm import language, leakage, nearduplicates, splitting, tokenize
 from quarry.sources.tables import table
 
 TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearduplicates.near_duplicate_pairs(table(spark, folder, "chunks"), "id", "content", 0.5).select("id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return nearduplicates.near_duplicate_groups(table(spark, folder, "chunks"), "id", "content", 0.5)
+
+
 def oversized_items(spark: SparkSession, folder: str) -> DataFrame:
     documents = splitting.oversized(table(spark, folder, "kb_documents"), "doc_id", "content", 2000, "document")
     chunks = splitting.oversized(table(spark, folder, "chunks"), "id", "content", 1000, "chunk")
