@@ -4,7 +4,7 @@ Vertical partitioning. All shingles are put into one global order, the rarest fi
 of fixed size that counts every shingle of the corpus. Each text's shingles are cut into fragments of this order:
 its prefix, without which no partner of the wanted similarity can be had, and the rest. Prefix fragments are
 spread over partitions by shingle; each partition meets the texts that share a shingle, drops pairs that the
-lengths, the positions in the order, or a 256-bit outline of both sets rule out. For the others the overlaps are counted
+lengths, the positions in the order, or an outline of both sets (a string of bits) rule out. For the others the overlaps are counted
 fragment by fragment, the rarest first, and summed; a pair whose sum, with all that its remaining fragments could
 add, stays under the needed overlap is dropped. The bounds are exact: no pair at or over the threshold is lost and
 none under it is given.
@@ -28,6 +28,9 @@ from quarry.llm.shingles import batch_shingles, text_key, tokens
 SKETCH_BITS = 22
 SKETCH_SLICES = 32
 HOT = 20_000
+#: Texts of at least WIDE_FROM shingles fill 256 bits; they carry a second outline.
+WIDE_FROM = 110
+WIDE_BITS = 1024
 FRAGMENTS = 4
 FRAGMENT_WIDTH = 24
 POSTING = np.dtype([("token", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
@@ -113,20 +116,24 @@ def ordered(owner: np.ndarray, h: np.ndarray, rarity: np.ndarray, texts: int):
     return h, rank, pos, size
 
 
-def outline(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """256 bits for each text, one set for each shingle."""
-    bits = np.zeros((texts, 256), bool)
-    bits[owner, (h & np.uint64(255)).astype(np.int64)] = True
+def outline(owner: np.ndarray, h: np.ndarray, texts: int, width: int) -> np.ndarray:
+    """A string of bits for each text, in 64-bit words; each shingle sets one of them."""
+    bits = np.zeros((texts, width), bool)
+    bits[owner, (h % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
 def prefix_fragments(texts: list[str | None], rarity: np.ndarray, n: int, least_words: int, t: float, parts: int):
-    """(partition, packed texts, packed postings) of a batch."""
+    """(partition, packed texts, packed postings, wide outlines of the larger texts) of a batch."""
     keys, owner, h0 = batch_sets(texts, n, least_words)
     if not len(keys):
         return
     h, rank, pos, size = ordered(owner, h0, rarity, len(keys))
-    bits = outline(owner, h0, len(keys))
+    bits = outline(owner, h0, len(keys), 256)
+    large = size >= WIDE_FROM
+    wide_at = np.cumsum(large) - 1
+    of_large = large[owner]
+    wide = outline(wide_at[owner[of_large]], h0[of_large], int(large.sum()), WIDE_BITS)
     # A bucket that counts one text holds no shingle of two.
     use = (pos < probe_prefix(size, t)[owner]) & (rank > 1)
     h, rank, pos, owner = h[use], rank[use], pos[use], owner[use]
@@ -156,10 +163,10 @@ def prefix_fragments(texts: list[str | None], rarity: np.ndarray, n: int, least_
             head["key"], head["size"], head["bits"] = keys[docs], size[docs], bits[docs]
             posts = np.zeros(len(at), POSTING)
             posts["token"], posts["doc"], posts["pos"] = token[at], local, pos[at]
-            yield p, head.tobytes(), posts.tobytes()
+            yield p, head.tobytes(), posts.tobytes(), wide[wide_at[docs[size[docs] >= WIDE_FROM]]].tobytes()
 
 
-def meeting_pairs(heads: list[bytes], posts: list[bytes], t: float, block: int = 2_000_000):
+def meeting_pairs(heads: list[bytes], posts: list[bytes], wides: list[bytes], t: float, block: int = 2_000_000):
     """Pairs that meet in a partition and aren't ruled out, by their keys, each once."""
     tables = [np.frombuffer(x, TEXT) for x in heads]
     base = np.cumsum([0] + [len(x) for x in tables])
@@ -183,6 +190,8 @@ def meeting_pairs(heads: list[bytes], posts: list[bytes], t: float, block: int =
     stop = np.minimum(ends, np.searchsorted(joined, token.astype(np.uint64) * np.uint64(big) + longest.astype(np.uint64), side="right"))
     reach = np.where(pos < index_prefix(size, t), np.maximum(stop - np.arange(n) - 1, 0), 0)
     bits = np.ascontiguousarray(text["bits"])
+    wide = np.concatenate([np.frombuffer(x, "<u8").reshape(-1, WIDE_BITS // 64) for x in wides])
+    wide_at = np.cumsum(text["size"] >= WIDE_FROM) - 1
     cum = np.cumsum(reach)
     out = []
     i = 0
@@ -199,6 +208,11 @@ def meeting_pairs(heads: list[bytes], posts: list[bytes], t: float, block: int =
             da, db = doc[left], doc[right]
             differ = np.bitwise_count(bits[da] ^ bits[db]).sum(1, dtype=np.int64)
             ok = size[left] + size[right] - differ >= 2 * need
+            left, right, need = left[ok], right[ok], need[ok]
+            big_pair = np.flatnonzero(size[left] >= WIDE_FROM)  # the right one is no smaller
+            differ = np.bitwise_count(wide[wide_at[doc[left[big_pair]]]] ^ wide[wide_at[doc[right[big_pair]]]]).sum(1, dtype=np.int64)
+            ok = np.ones(len(left), bool)
+            ok[big_pair] = size[left[big_pair]] + size[right[big_pair]] - differ >= 2 * need[big_pair]
             left, right = left[ok], right[ok]
             out.append(np.stack([key[left], key[right]], axis=1))
         i = j
@@ -278,14 +292,14 @@ def similar_pairs(df: DataFrame, text_col: str, t: float, n: int = 3, least_word
 
     def deal(batches):
         for b in batches:
-            yield _packed([(p, k, x) for p, h, q in prefix_fragments(b.column(0).to_pylist(), rarity.value, n, least_words, t, parts) for k, x in ((0, h), (1, q))])
+            yield _packed([(p, k, x) for p, *blobs in prefix_fragments(b.column(0).to_pylist(), rarity.value, n, least_words, t, parts) for k, x in enumerate(blobs)])
 
     def meet(batches):
         for own in _grouped(batches).values():
-            pairs = meeting_pairs(own[0], own[1], t)
+            pairs = meeting_pairs(own[0], own[1], own[2], t)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key_a", "key_b"])
 
-    met = rows.mapInArrow(deal, PACKED).repartition(parts, "place").mapInArrow(meet, "key_a long, key_b long")
+    met = rows.mapInArrow(deal, PACKED).repartitionById(parts, F.col("place")).mapInArrow(meet, "key_a long, key_b long")
     candidates = cut(met.distinct())
 
     # Texts go to the place of their key; from there to the places of their partners.
@@ -345,8 +359,8 @@ def similar_pairs(df: DataFrame, text_col: str, t: float, n: int = 3, least_word
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["key_a", "key_b", "similarity"])
 
     asked = rows.mapInArrow(send_texts, PACKED).unionByName(candidates.mapInArrow(send_pairs, PACKED))
-    texts = asked.repartition(parts, "place").mapInArrow(answer, PACKED)
-    both = texts.unionByName(candidates.mapInArrow(pairs_home, PACKED)).repartition(parts, "place")
+    texts = asked.repartitionById(parts, F.col("place")).mapInArrow(answer, PACKED)
+    both = texts.unionByName(candidates.mapInArrow(pairs_home, PACKED)).repartitionById(parts, F.col("place"))
     return both.mapInArrow(verify, "key_a long, key_b long, similarity double")
 
 
