@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, leakage, nearduplicates, splitting, tokenize
+from quarry.llm import language, leakage, nearduplicates, neighbours, splitting, tokenize
 from quarry.sources.tables import table
 
 TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
@@ -35,6 +35,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_items(oversized_items(spark, folder))
 
 
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "chunks"), "id", "embedding", copies=5)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, folder, "chunks"), "id", "embedding", least=0.85)
+    return neighbours.similar_neighbour_pairs(near, 0.85)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
