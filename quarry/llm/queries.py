@@ -7,12 +7,27 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, leakage, nearduplicates, neighbours, splitting, tokenize
+from quarry.llm import encodings, language, leakage, nearduplicates, neighbours, splitting, tokenize
 from quarry.sources.tables import table
 
 TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 
 
+def _wrong_readings(spark: SparkSession, folder: str):
+    docs = table(spark, folder, "kb_documents")
+    model = encodings.fit_letter_pairs(docs, "content", table(spark, folder, "lang_samples"))
+    return docs, model, encodings.wrong_readings(docs, "doc_id", "content", "source", model)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _wrong_readings(spark, folder)[2].select(F.col("id").alias("doc_id"))
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    docs, model, wrong = _wrong_readings(spark, folder)
+    return encodings.restored(docs, "doc_id", "content", wrong, model).withColumnRenamed("id", "doc_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearduplicates.near_duplicate_pairs(table(spark, folder, "chunks"), "id", "content", 0.5).select("id_a", "id_b")
 
