@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import encodings, language, leakage, nearduplicates, neighbours, splitting, tokenize
+from quarry.llm import boilerplate, encodings, language, leakage, nearduplicates, neighbours, splitting, tokenize
 from quarry.sources.tables import table
 
 TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,19 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearduplicates.near_duplicate_groups(table(spark, folder, "chunks"), "id", "content", 0.5)
 
 
+KB = ("doc_id", "content", "source", "title")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "kb_documents")
+    return boilerplate.boilerplate_lines(docs, *KB, boilerplate.fit_line_model(docs, *KB))
+
+
+def p3_main(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "kb_documents")
+    return boilerplate.main_content(docs, *KB, boilerplate.fit_line_model(docs, *KB))
+
+
 def oversized_items(spark: SparkSession, folder: str) -> DataFrame:
     documents = splitting.oversized(table(spark, folder, "kb_documents"), "doc_id", "content", 2000, "document")
     chunks = splitting.oversized(table(spark, folder, "chunks"), "id", "content", 1000, "chunk")
