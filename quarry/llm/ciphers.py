@@ -19,6 +19,8 @@ HIGH = re.compile(r"[^\x00-\x7f]+")
 GAP = re.compile(r"(?:(?<=\s)|^)\?(?=[^\W\d_])|(?<=[^\W\d_])\?(?=[^\W\d_])")
 LINK = re.compile(r"\S*(?:://|\]\()\S*|\S+\?\S+=\S*")
 MEMO = 200_000
+CONTEXTS = 20_000
+SWAPS = {f"{w}>{m}": k for k, (w, m) in enumerate((w, m) for w in READ_AS for m in MEANT if m != w and not (w in WIDE and m != "utf-8"))}
 
 
 def to_bytes(run: str, page: str) -> bytes | None:
@@ -82,14 +84,9 @@ def damaged(text: str) -> bool:
     return "?" in text and any(GAP.search(LINK.sub(" ", line)) for line in text.split("\n") if "?" in line)
 
 
-def line_readings(line: str) -> dict[str, str]:
-    """Readings of a whole line by swap: every run of high characters that the swap can read is replaced."""
-    runs = set(HIGH.findall(line))
-    tables = {r: readings(r) for r in runs}
-    out = {}
-    for swap in sorted({s for t in tables.values() for s in t}):
-        out[swap] = HIGH.sub(lambda m: tables[m[0]].get(swap, m[0]), line)
-    return out
+def line_reading(line: str, swap: str) -> str:
+    """Every run of high characters that the swap can read is replaced."""
+    return HIGH.sub(lambda m: readings(m[0]).get(swap, m[0]), line)
 
 
 def translation(swap: str, runs: list[str]) -> dict[int, str] | None:
@@ -122,6 +119,7 @@ class LetterPairs:
         self.alphabet, self.languages, self.counts = alphabet, languages, counts
         self.index = {c: k + OTHER for k, c in enumerate(alphabet)}
         self.codes_of: dict[str, int] = {}
+        self.contexts: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray]] = {}
         single = counts.sum(1).astype(np.float64)
         p = (single + 0.05) / (single.sum(1, keepdims=True) + 0.05 * single.shape[1])
         ahead = counts.sum(2)[:, :, None]
@@ -155,6 +153,27 @@ class LetterPairs:
         padded = " " + line.lower() + " "
         return not any(not (padded[i] + padded[i + 1]).isascii() for i in np.flatnonzero(low))
 
+    def changes(self, before: str, run: str, after: str) -> tuple[np.ndarray, np.ndarray]:
+        """Swaps that can read a run, and what each adds to the line's score in every language."""
+        key = (before, run, after)
+        known = self.contexts.get(key)
+        if known is None:
+            if len(self.contexts) > CONTEXTS:
+                self.contexts.clear()
+            own = self._local(before + run + after)
+            swaps, rows, seen = [], [], {}
+            for swap, text in readings(run).items():
+                if text not in seen:
+                    seen[text] = self._local(before + text + after) - own
+                swaps.append(SWAPS[swap])
+                rows.append(seen[text])
+            known = self.contexts[key] = (np.array(swaps, np.int64), np.array(rows, np.float32).reshape(-1, len(self.languages)))
+        return known
+
+    def _local(self, text: str) -> np.ndarray:
+        c = self.encode(text)[1:-1]
+        return self.logp[c[:-1], c[1:]].sum(0) - 3.0 * case_slips(text)
+
 
 def case_slips(line: str) -> int:
     """Capitals after small letters inside a word, and high symbols between two letters."""
@@ -175,7 +194,7 @@ def touches_letter(line: str) -> bool:
 
 
 def best_reading(model: LetterPairs, line: str, least: float = 2.5):
-    """[(swap, gain, text)] of readings likelier than the line as it stands by at least `least`, likeliest first.
+    """[(swap, gain)] of readings likelier than the line as it stands by at least `least`, likeliest first.
 
     A line whose high characters all stand alone says little about letters, so its gain counts half.
     """
@@ -184,12 +203,12 @@ def best_reading(model: LetterPairs, line: str, least: float = 2.5):
     own = model.score(line)
     if model.looks_clean(line, int(own.argmax())):
         return []
-    base, scored, out = own.max(), {}, []
     weight = 1.0 if touches_letter(line) or len("".join(HIGH.findall(line))) > 0.3 * len(line) else 0.5
-    for swap, text in line_readings(line).items():
-        gain = scored.get(text)
-        if gain is None:
-            gain = scored[text] = weight * float(model.score(text).max() - base)
-        if gain >= least:
-            out.append((swap, gain, text))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+    total = np.zeros((len(SWAPS), len(own)), np.float32)
+    padded = f" {line} "
+    for m in HIGH.finditer(padded):
+        swaps, added = model.changes(padded[m.start() - 1], m[0], padded[m.end()])
+        total[swaps] += added
+    gain = weight * ((own[None] + total).max(1) - own.max())
+    good = [(name, float(gain[k])) for name, k in SWAPS.items() if gain[k] >= least]
+    return sorted(good, key=lambda x: (-round(x[1], 3), SWAPS[x[0]]))

@@ -83,7 +83,7 @@ def evidence(docs: DataFrame, id_col: str, text_col: str, source_col: str, model
                     continue
                 sums: dict[str, float] = {}
                 for line in x.split("\n"):
-                    for s, g, _ in ciphers.best_reading(shared.value, line, LEAST_GAIN):
+                    for s, g in ciphers.best_reading(shared.value, line, LEAST_GAIN):
                         sums[s] = sums.get(s, 0.0) + g
                 for s, g in sorted(sums.items(), key=lambda z: -z[1]):
                     at.append(i), swap.append(s), gain.append(g)
@@ -131,7 +131,7 @@ def restore_line(model: ciphers.LetterPairs, line: str, swap: str, steps: int =
             break
         runs = ciphers.HIGH.findall(line)
         table = ciphers.translation(swap, runs)
-        new = line.translate(table) if table is not None else ciphers.line_readings(line).get(swap, line)
+        new = line.translate(table) if table is not None else ciphers.line_reading(line, swap)
         if new == line or model.score(new).max() <= model.score(line).max():
             break
         line = new
