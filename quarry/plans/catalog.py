@@ -1,11 +1,314 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core and their SQL.
+
+A search takes as its queries every golden question whose qid is divisible by 50 (vectors: vec_id), against all rows.
+Rows that a table delivers twice count once.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from quarry.functions import models, text
+from quarry.functions.filters import predicate
+from quarry.operators import answers as answer_scores
+from quarry.operators import augment, chunkers, metrics, rerank, retrieve, rewrite, stats
+from quarry.operators.index import Corpus, document_frequency, idf_bm25, idf_tfidf
+from quarry.plans import scorers
+from quarry.plans.oracles import oracle_sql  # noqa: F401
+from quarry.sources import datasets
+from quarry.sources.tables import delivered_once, table
+
+SYNONYMS = {"parcel": ["package", "plates"], "manual": ["notebook"]}
+WHERE = {"source_format": {"$in": ["html", "text"]}, "chunk_index": {"$gte": 2}, "lang": "en"}
+K = 10
+
+
+# ---- tables
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = delivered_once(table(spark, sf, "chunks"), "id")
+    return rows.select("id", "doc_id", "content", "metadata.source", "metadata.source_format", "metadata.lang", "metadata.chunk_index", "embedding")
+
+
+def corpus(spark: SparkSession, sf: str, stop=None) -> Corpus:
+    return Corpus(chunks(spark, sf), stop)
+
+
+def qrels(spark: SparkSession, sf: str) -> DataFrame:
+    return delivered_once(table(spark, sf, "qrels"), "qid")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return qrels(spark, sf).where("qid % 50 = 0 AND query IS NOT NULL").select("qid", "query")
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored results with their chunks' contents."""
+    rows = delivered_once(table(spark, sf, "results"), "qid", "rank_no").withColumnRenamed("rank_no", "rank").withColumnRenamed("chunk_id", "id")
+    about = chunks(spark, sf).select("id", "content", "source")
+    return rows.select("qid", "rank", "id", "doc_id", "score", "retrieval_method").join(about, "id", "left")
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    return delivered_once(table(spark, sf, "answers"), "qid")
+
+
+def found(df: DataFrame) -> DataFrame:
+    return df.select("qid", "rank", "id", F.round("score", 6).alias("score"), "retrieval_method")
+
+
+# ---- index and retrieval
+
+
+def tokenize_tf(spark, sf):
+    return corpus(spark, sf).postings().select("id", "term", "tf")
+
+
+def doc_freq(spark, sf):
+    c = corpus(spark, sf)
+    rows = document_frequency(c.postings()).crossJoin(F.broadcast(c.statistics()))
+    return rows.select("term", "df", F.round(idf_bm25(F.col("n"), F.col("df")), 6).alias("idf_bm25"), F.round(idf_tfidf(F.col("n"), F.col("df")), 6).alias("idf_tfidf"))
+
+
+def corpus_stats(spark, sf):
+    return corpus(spark, sf).statistics().select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_topk(spark, sf):
+    return found(retrieve.bm25(asked(spark, sf), corpus(spark, sf), K))
+
+
+def bm25_stopwords_topk(spark, sf):
+    return found(retrieve.bm25(asked(spark, sf), corpus(spark, sf, "en"), K))
+
+
+def bm25_synonyms_topk(spark, sf):
+    return found(retrieve.bm25(asked(spark, sf), corpus(spark, sf), K, synonyms=SYNONYMS))
+
+
+def bm25_filtered_topk(spark, sf):
+    return found(retrieve.bm25(asked(spark, sf), corpus(spark, sf), K, where=WHERE))
+
+
+def keyword_topk(spark, sf):
+    return found(retrieve.keyword(asked(spark, sf), corpus(spark, sf), K))
+
+
+def keyword_filtered_topk(spark, sf):
+    return found(retrieve.keyword(asked(spark, sf), corpus(spark, sf), K, where=WHERE))
+
+
+def vectors(spark, sf) -> tuple[DataFrame, Corpus]:
+    rows = table(spark, sf, "embeddings")
+    own = rows.select(F.col("vec_id").alias("id"), F.col("embedding"), "label")
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), Corpus(own)
+
+
+def cosine_topk(spark, sf):
+    q, c = vectors(spark, sf)
+    return found(retrieve.semantic(q, c, K))
+
+
+def cosine_filtered_topk(spark, sf):
+    q, c = vectors(spark, sf)
+    return found(retrieve.semantic(q, c, K, where={"label": {"$lt": 3}}))
+
+
+def vectorstore_topk(spark, sf):
+    q, c = vectors(spark, sf)
+    return found(retrieve.semantic(q, c, 5, method="vectorstore:memory"))
+
+
+def _bags(spark, sf) -> tuple[DataFrame, Corpus]:
+    c = chunks(spark, sf).withColumn("embedding", models.bag_embedding(F.col("content")))
+    return asked(spark, sf).withColumn("embedding", models.bag_embedding(F.col("query"))), Corpus(c)
+
+
+def hybrid_rrf_topk(spark, sf):
+    q, c = _bags(spark, sf)
+    return found(retrieve.hybrid(q, c, K))
+
+
+def semantic_fallback_topk(spark, sf):
+    q, c = _bags(spark, sf)
+    return found(retrieve.semantic_or_keyword(q.withColumn("embedding", F.when(F.col("qid") % 100 == 0, F.col("embedding"))), c, K))
+
+
+def rerank_overlap_topk(spark, sf):
+    q, c = asked(spark, sf), corpus(spark, sf)
+    return found(rerank.overlap(retrieve.bm25(q, c, rerank.depth(5)), q, c.chunks, 5))
+
+
+def rerank_threshold_topk(spark, sf):
+    q, c = asked(spark, sf), corpus(spark, sf)
+    return found(rerank.overlap(retrieve.bm25(q, c, rerank.depth(5)), q, c.chunks, 5, 0.8))
+
+
+def rule_rewrite(spark, sf):
+    return rewrite.rewrite(qrels(spark, sf).where("query IS NOT NULL").select("qid", "query")).select("qid", "query_original", "query_effective", "rewrite_method")
+
+
+def filter_predicates(spark, sf):
+    """How many chunks pass each of several filters."""
+    rows = chunks(spark, sf)
+    tests = {
+        "equal": {"lang": "de"},
+        "missing": {"source": None},
+        "range": {"chunk_index": {"$gt": 1, "$lte": 7}},
+        "in_with_none": {"source_format": {"$in": ["pdf", None]}},
+        "across_types": {"chunk_index": {"$gte": "3"}},
+        "unknown_operator": {"lang": {"$near": "en"}},
+        "empty": {},
+        "conjunction": WHERE,
+    }
+    sums = rows.agg(*[F.sum(F.when(predicate(rows, w), 1).otherwise(0)).alias(n) for n, w in tests.items()])
+    return sums.unpivot([], list(tests), "filter", "passed")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+# ---- evaluation
+
+
+def metrics_per_query(spark, sf):
+    per = metrics.per_query(qrels(spark, sf), results(spark, sf), 5)
+    return per.select("qid", *[F.round(m, 6).alias(m) for m in metrics.METRICS])
+
+
+def metric_means(spark, sf):
+    return metrics.means(metrics.per_query(qrels(spark, sf), results(spark, sf), 5))
+
+
+def scorer_recall(spark, sf):
+    return scorers.ScorerRegistry().create("retrieval_recall", k=3)(qrels(spark, sf), results(spark, sf))
+
+
+def _long(spark, sf) -> DataFrame:
+    return metrics.long_form(metrics.per_query(qrels(spark, sf), results(spark, sf), 5))
+
+
+def bootstrap_native(spark, sf):
+    s = stats.bootstrap_native(_long(spark, sf).where("name IN ('recall', 'mrr')"), 40)
+    return s.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")], "n")
+
+
+def bootstrap_exact(spark, sf):
+    return stats.rounded(stats.bootstrap(_long(spark, sf)))
+
+
+def rubric_dimensions(spark, sf):
+    """Rubric over the repeatable intervals."""
+    s = stats.bootstrap_native(_long(spark, sf).where("name IN ('recall', 'mrr')"), 40)
+    return stats.rubric(s).select("dimension", "status", "threshold", "weight")
+
+
+def compare_deltas(spark, sf):
+    """BM25 against TF-IDF: reciprocal ranks at 10, paired by question."""
+    c, q = corpus(spark, sf), asked(spark, sf)
+    cases = qrels(spark, sf).join(q.select("qid"), "qid", "left_semi")
+    legs = []
+    for leg in (retrieve.keyword, retrieve.bm25):
+        hits = leg(q, c, K).join(c.chunks.select("id", "content"), "id")
+        legs.append(metrics.long_form(metrics.per_query(cases, hits, K), ["mrr"]))
+    return stats.paired_deltas(*legs).select("qid", F.round("va", 6).alias("keyword"), F.round("vb", 6).alias("bm25"), F.round("value", 6).alias("delta"))
+
+
+# ---- context and answers
+
+
+def cited_context(spark, sf):
+    return augment.cited_context(qrels(spark, sf), results(spark, sf), 0.2)
+
+
+def evaluation_context(spark, sf):
+    return augment.evaluation_context(qrels(spark, sf), results(spark, sf))
+
+
+def augmented_message(spark, sf):
+    return augment.in_memory(qrels(spark, sf).where("query IS NOT NULL").select("qid", "query"), results(spark, sf), 0.2)
+
+
+def context_dedupe(spark, sf):
+    return augment.one_of_each(results(spark, sf)).select("qid", "position", "rank", "id")
+
+
+def citation_precision(spark, sf):
+    return answers(spark, sf).select("qid", F.round(answer_scores.citation_precision(F.col("answer"), F.col("retrieved.source")), 6).alias("value"))
+
+
+def answer_correctness(spark, sf):
+    rows = answers(spark, sf)
+    return rows.select("qid", F.round(answer_scores.answer_correctness(F.col("answer"), F.col("expected")), 6).alias("overlap"), F.round(answer_scores.correctness_score(F.col("answer"), F.col("expected")), 6).alias("score"))
+
+
+def abstention(spark, sf):
+    return answers(spark, sf).select("qid", answer_scores.abstention(F.col("answer"), F.col("out_of_scope")).alias("value"))
+
+
+def answer_scalars(spark, sf):
+    """Text scalars over answers: verdict, first number, normal form."""
+    a = F.col("answer")
+    return answers(spark, sf).select("qid", text.verdict(a).alias("verdict"), F.round(text.first_number(F.coalesce(a, F.lit(""))), 6).alias("number"), text.normal_answer(a).alias("normal"))
+
+
+def score_scalars(spark, sf):
+    s = F.col("score")
+    return results(spark, sf).select("qid", "rank", F.round(text.sigmoid(s), 6).alias("logistic"), F.round(text.clamp(s), 6).alias("clamped"), text.round3(F.round(text.clamp(s), 6)).alias("rounded"))
+
+
+# ---- documents
+
+
+def documents(spark, sf) -> DataFrame:
+    return delivered_once(table(spark, sf, "kb_documents"), "doc_id")
+
+
+def sentence_chunks(spark, sf):
+    return chunkers.sentence(documents(spark, sf))
+
+
+def paragraph_chunks(spark, sf):
+    return chunkers.paragraph(documents(spark, sf))
+
+
+def fixed_chunks(spark, sf):
+    return chunkers.fixed(documents(spark, sf))
+
+
+def semantic_chunks(spark, sf):
+    return chunkers.semantic(documents(spark, sf), models.BagEmbedder(), threshold=0.3)
+
+
+def source_formats(spark, sf):
+    return documents(spark, sf).select("doc_id", text.detect_format(F.col("source")).alias("format"), text.name_from_url(F.col("source")).alias("name"))
+
+
+def passages(spark, sf):
+    """Texts once each, by a hash of the text, with the words a needle is made of."""
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(text.passage_id(F.col("text")).alias("passage_id"), text.snippet(F.col("text")).alias("snippet"))
+    return rows.groupBy("passage_id").agg(F.min("snippet").alias("snippet"), F.count("*").alias("copies"))
+
+
+def embedding_bags(spark, sf):
+    return chunks(spark, sf).select("id", F.array_join(F.transform(models.bag_embedding(F.col("content")), lambda x: x.cast("int").cast("string")), ",").alias("bag"))
+
+
+def synthetic_eval(spark, sf):
+    """The built-in golden set against its corpus."""
+    c, q = Corpus(datasets.synthetic_chunks(spark)), datasets.synthetic_qrels(spark)
+    hits = retrieve.bm25(q.select("qid", "query"), c, K).join(c.chunks.select("id", "content"), "id")
+    return metrics.means(metrics.per_query(q, hits, K))
+
+
+QUERIES = (
+    tokenize_tf, doc_freq, corpus_stats, bm25_topk, bm25_stopwords_topk, bm25_synonyms_topk, bm25_filtered_topk, keyword_topk,
+    keyword_filtered_topk, cosine_topk, cosine_filtered_topk, vectorstore_topk, hybrid_rrf_topk, semantic_fallback_topk,
+    rerank_overlap_topk, rerank_threshold_topk, rule_rewrite, filter_predicates, metrics_per_query, metric_means, scorer_recall,
+    bootstrap_native, bootstrap_exact, rubric_dimensions, compare_deltas, cited_context, evaluation_context, augmented_message,
+    context_dedupe, citation_precision, answer_correctness, abstention, answer_scalars, score_scalars, sentence_chunks,
+    paragraph_chunks, fixed_chunks, semantic_chunks, source_formats, passages, embedding_bags, synthetic_eval,
+)
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in QUERIES}
