@@ -85,7 +85,8 @@ class BagEmbedder:
 def bag_embedding(column: Column, dim: int = 128) -> Column:
     """The same vector as an expression inside the JVM."""
     buckets = F.transform(text.tokens(column), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    # The one-element array binds the buckets to a variable, so they are computed once a row.
+    return F.transform(F.array(buckets), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))[0]
 
 
 def embed_column(embedder: Callable[[list[str]], list]):

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: White space of any Unicode kind; \s alone is that of ASCII in the JVM.
+WHITE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 #: English and Indonesian function words, opt-in for lexical retrieval.
 STOPWORDS = {
@@ -75,7 +77,8 @@ def normal_answer(text: Column) -> Column:
 
 
 def snippet(text: Column, n: int = 10) -> Column:
-    return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, n), " ")
+    """First n words between white space."""
+    return F.array_join(F.slice(F.filter(F.split(text, f"{WHITE}+"), lambda x: x != ""), 1, n), " ")
 
 
 def passage_id(text: Column) -> Column:

@@ -11,7 +11,8 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+')"
+#: A dotted capital I is small i and a combining dot in Unicode's full lower case.
+TOK = r"regexp_extract_all(lower(replace(coalesce({}, ''), 'İ', 'i' || chr(775))), '[\p{{L}}\p{{N}}_]+')"
 EN = _list(STOPWORDS["en"])
 
 CHUNKS = """c AS (SELECT id, any_value(doc_id) AS doc_id, any_value(content) AS content, any_value(metadata.source) AS source,
@@ -196,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
     path = r"regexp_extract(source, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
     out["source_formats"] = f"""WITH {DOCS} SELECT doc_id, CASE WHEN {ext} IN ('.txt', '.md', '.markdown', '.rst', '.text') THEN 'text' WHEN {ext} IN ('.html', '.htm', '.xhtml') THEN 'html' WHEN {ext} = '.pdf' THEN 'pdf' WHEN {ext} = '.docx' THEN 'docx' ELSE 'text' END AS format,
     coalesce(nullif(split_part({path}, '/', -1), ''), 'document') AS name FROM d"""
-    out["passages"] = """SELECT 'p' || substr(sha1(text), 1, 12) AS passage_id, min(array_to_string(string_split_regex(trim(text), '\\s+')[1:10], ' ')) AS snippet, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+    out["passages"] = f"""SELECT 'p' || substr(sha1(text), 1, 12) AS passage_id, min(array_to_string(([x FOR x IN string_split_regex(text, '{white}+') IF x <> ''])[1:10], ' ')) AS snippet, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"""
     out["embedding_bags"] = f"""WITH {_index()}, b AS (SELECT id, {BUCKET} AS b, sum(tf) AS x FROM p GROUP BY ALL), g AS (SELECT c.id, i FROM c, range(128) r(i))
     SELECT g.id, string_agg(coalesce(x, 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS bag FROM g LEFT JOIN b ON b.id = g.id AND b.b = g.i GROUP BY g.id"""
     mrr = lambda s, name: f"""{name} AS (SELECT a.qid, coalesce(1.0 / min(CASE WHEN len([x FOR x IN coalesce(q.gold_needles, []) IF x IS NOT NULL AND x <> '' AND contains(lower(coalesce(c.content, '')), lower(x))]) > 0 THEN k.rank END), 0.0) AS v FROM a JOIN q USING (qid) LEFT JOIN ({_ranked(s, 10, name)}) k ON k.qid = a.qid LEFT JOIN c ON c.id = k.id GROUP BY a.qid)"""
