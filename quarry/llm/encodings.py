@@ -33,6 +33,9 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
     clean = samples.where(F.col(sample_text).isNotNull() & F.col(sample_lang).isNotNull()).select(sample_text, sample_lang, F.xxhash64(sample_text).alias("h"))
     clean = [(r[0], r[1]) for r in clean.orderBy("h").limit(max_samples).collect()]
 
+    if not clean:
+        raise ValueError("labelled samples are needed")
+
     def letters(batches):
         n: Counter = Counter()
         for b in batches:

@@ -38,10 +38,14 @@ def label_code(label: Column) -> Column:
 
 
 def fit_model(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", max_samples: int = 5000) -> langmodel.LanguageModel:
-    """Model trained on at most max_samples labelled rows, chosen by a hash of their text."""
+    """Model trained on at most max_samples labelled rows, chosen by a hash of their text;
+    ValueError if these hold fewer than two languages."""
     rows = samples.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h"))
-    return langmodel.train([(r.t, r.l) for r in rows.orderBy("h", "l").limit(max_samples).collect()])
+    picked = [(r.t, r.l) for r in rows.orderBy("h", "l").limit(max_samples).collect()]
+    if len({lang for _, lang in picked}) < 2:
+        raise ValueError("samples of at least two languages are needed")
+    return langmodel.train(picked)
 
 
 def _plain(line: str) -> str:
