@@ -101,9 +101,10 @@ def with_vectors(chunks: DataFrame, embedder: Callable[[list[str]], list], vecto
     """Vectors for the chunks that lack one; each distinct content is embedded once."""
     if vector not in chunks.columns:
         chunks = chunks.withColumn(vector, F.lit(None).cast("array<double>"))
-    missing = chunks.where(F.col(vector).isNull()).select("content").distinct()
-    made = missing.withColumn("_v", embed_column(embedder)("content"))
-    return chunks.join(made, chunks["content"].eqNullSafe(made["content"]), "left").select(*[chunks[c] if c != vector else F.coalesce(chunks[vector], F.col("_v")).alias(vector) for c in chunks.columns])
+    missing = chunks.where(F.col(vector).isNull()).select(F.col("content").alias("_c")).distinct()
+    made = missing.withColumn("_v", embed_column(embedder)("_c"))
+    joined = chunks.join(made, F.col("content").eqNullSafe(F.col("_c")), "left")
+    return joined.withColumn(vector, F.coalesce(vector, "_v")).drop("_c", "_v")
 
 
 def cached_vectors(contents: DataFrame, embedder: Callable[[list[str]], list], folder: str, model: str) -> DataFrame:

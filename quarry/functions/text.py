@@ -94,7 +94,8 @@ def is_binary(content: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into [0, 1]; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -185,9 +185,8 @@ def oracle_sql() -> dict[str, str]:
     out["abstention"] = f"WITH {ANSWERS} SELECT qid, CASE WHEN NOT coalesce(oos, false) THEN 1.0 WHEN len([x FOR x IN {_list(REFUSALS)} IF contains(lower(coalesce(answer, '')), x)]) > 0 THEN 1.0 ELSE 0.0 END AS value FROM w"
     up = "upper(coalesce(answer, ''))"
     out["answer_scalars"] = f"""WITH {ANSWERS} SELECT qid, CASE WHEN contains({up}, 'UNSUPPORTED') THEN 'UNSUPPORTED' WHEN contains({up}, 'CONTRADICTED') THEN 'CONTRADICTED' WHEN contains({up}, 'SUPPORTED') THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict,
-    round(coalesce(greatest(0.0, least(1.0, try_cast(regexp_extract(coalesce(answer, ''), '([0-9]*\\.?[0-9]+)', 1) AS DOUBLE))), 0.0), 6) AS number, {norm.format('answer')} AS normal FROM w"""
-    clamped = "CASE WHEN score IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, score)) END"
-    clamped = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, score))"
+    round(least(1.0, coalesce(try_cast(regexp_extract(coalesce(answer, ''), '([0-9]*\\.?[0-9]+)', 1) AS DOUBLE), 0.0)), 6) AS number, {norm.format('answer')} AS normal FROM w"""
+    clamped = "CASE WHEN score IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) END"
     out["score_scalars"] = f"WITH {CHUNKS}, {RESULTS} SELECT qid, rank, round(1 / (1 + exp(-score)), 6) AS logistic, round({clamped}, 6) AS clamped, round_even(round({clamped}, 6), 3) AS rounded FROM r"
     white = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
     out["sentence_chunks"] = f"""WITH {DOCS}, s AS (SELECT doc_id, [y FOR y IN [regexp_replace(x, '^{white}+|{white}+$', '', 'g') FOR x IN string_split(regexp_replace(content, '([.!?]){white}+', '\\1' || chr(1), 'g'), chr(1))] IF y <> ''] AS parts FROM d WHERE content IS NOT NULL),

@@ -45,7 +45,7 @@ class Registry:
     def settings(self, name: str, conf: dict, **inject) -> dict:
         """The parts of a flat configuration that the component takes, by parameter name or alias, and what is injected."""
         known = inspect.signature(self.get(name)).parameters
-        out = {k: v for k, v in conf.items() if k in known}
+        out = {k: v for k, v in conf.items() if k in known and known[k].default is not inspect.Parameter.empty}
         out |= {p: conf[k] for k, p in self.aliases.get(name, {}).items() if k in conf}
         return out | {k: v for k, v in inject.items() if k in known}
 
