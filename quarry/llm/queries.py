@@ -64,7 +64,7 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.nearest(table(spark, folder, "chunks"), "id", "embedding", copies=5)
+    return neighbours.nearest(table(spark, folder, "chunks"), "id", "embedding", copies=5, rerank=256)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
