@@ -162,7 +162,10 @@ class LetterPairs:
                 self.contexts.clear()
             own = self._local(before + run + after)
             swaps, rows, seen = [], [], {}
+            lone = not (before.isalpha() or after.isalpha() or any(map(str.isalpha, run)))
             for swap, text in readings(run).items():
+                if lone and any(map(str.isalpha, text)):
+                    continue  # a sign that stands alone is no letter
                 if text not in seen:
                     seen[text] = self._local(before + text + after) - own
                 swaps.append(SWAPS[swap])
@@ -176,14 +179,14 @@ class LetterPairs:
 
 
 def case_slips(line: str) -> int:
-    """Capitals after small letters inside a word, and high symbols between two letters."""
+    """Capitals after small letters inside a word, high symbols between two letters, signs and numerals after one."""
     n, last = 0, len(line) - 1
     for i, ch in enumerate(line):
         if ch > "\x7f":
             before, after = line[i - 1] if i else " ", line[i + 1] if i < last else " "
             if ch.isalpha():
                 n += (ch.isupper() and before.islower()) + (ch.islower() and after.isupper())
-            elif ch not in "’·" and before.isalpha() and after.isalpha():
+            elif ch not in "’·" and before.isalpha() and (after.isalpha() or unicodedata.category(ch) in ("No", "So", "Sm")):
                 n += 1
     return n
 

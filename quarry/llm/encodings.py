@@ -22,8 +22,8 @@ from quarry.llm import ciphers
 
 LEAST_GAIN = 2.5
 #: Nats against any swap where nothing is known of a source, and how far a source's other documents may lower them.
-DOUBT = 7.0
-TRUST = 3.0
+DOUBT = 5.5
+TRUST = 0.7
 
 
 def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_text: str = "text", sample_lang: str = "lang", max_samples: int = 5000) -> ciphers.LetterPairs:
