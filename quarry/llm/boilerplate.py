@@ -74,6 +74,12 @@ def site_lines(model: pl.LineModel, content: str, source: str | None, title: str
         return []
     lines = [content.split("\n")[i].strip() for i in numbers]
     score = model.scores(rows)
+    # Languages that sites use more than shared files do lift all lines of a page: its plain sentences show by how much.
+    name = pl.site_name(source)
+    plain = np.array([len(x) >= 40 and bool(pl.END.search(x)) and not pl.LINK.search(x) and not pl.SEPARATOR.search(x) and pl.SITE not in pl.masked(x, name) for x in lines])
+    plain &= score < 6.5
+    if plain.any():
+        score = score - np.clip(np.median(score[plain]) - 0.5, 0.0, 3.0)
     unsure = (score > LOW - 1) & (score < HIGH + 0.5)
     value = np.where(unsure, 0.5 * score + 0.5 * smooth(score), score)
     site = value > np.clip(two_means(np.clip(value, -2, 8)), LOW, HIGH)
