@@ -153,6 +153,14 @@ class LetterPairs:
         padded = " " + line.lower() + " "
         return not any(not (padded[i] + padded[i + 1]).isascii() for i in np.flatnonzero(low))
 
+    def proper(self, line: str, reading: str, floor: float = -6.5) -> bool:
+        """Most high characters of the reading, those that differ if it is letter by letter, are likely after the one before."""
+        c = self.encode(reading)
+        best = int(self.logp[c[:-1], c[1:]].sum(0).argmax())
+        same = len(line) == len(reading)
+        at = [i for i, ch in enumerate(reading) if ch > "\x7f" and not (same and line[i] == ch)]
+        return 2 * np.count_nonzero(self.logp[c[:-1], c[1:], best][at] >= floor) > len(at)
+
     def changes(self, before: str, run: str, after: str) -> tuple[np.ndarray, np.ndarray]:
         """Swaps that can read a run, and what each adds to the line's score in every language."""
         key = (before, run, after)
@@ -196,22 +204,38 @@ def touches_letter(line: str) -> bool:
     return re.search(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]", line) is not None
 
 
-def best_reading(model: LetterPairs, line: str, least: float = 2.5):
-    """[(swap, gain)] of readings likelier than the line as it stands by at least `least`, likeliest first.
+def gains(model: LetterPairs, line: str) -> np.ndarray:
+    """What each swap's reading gains over the line as it stands, each in its likeliest language.
 
     A line whose high characters all stand alone says little about letters, so its gain counts half.
     """
-    if line.isascii():
-        return []
     own = model.score(line)
-    if model.looks_clean(line, int(own.argmax())):
-        return []
     weight = 1.0 if touches_letter(line) or len("".join(HIGH.findall(line))) > 0.3 * len(line) else 0.5
     total = np.zeros((len(SWAPS), len(own)), np.float32)
     padded = f" {line} "
     for m in HIGH.finditer(padded):
         swaps, added = model.changes(padded[m.start() - 1], m[0], padded[m.end()])
         total[swaps] += added
-    gain = weight * ((own[None] + total).max(1) - own.max())
+    return weight * ((own[None] + total).max(1) - own.max())
+
+
+def best_reading(model: LetterPairs, line: str, least: float = 2.5, gate: bool = True):
+    """[(swap, gain)] of readings likelier than the line as it stands by at least `least`, likeliest first.
+
+    gate: a line without an improbable pair has none; not for a model whose counts may hold damaged lines.
+    """
+    if line.isascii() or (gate and model.looks_clean(line, int(model.score(line).argmax()))):
+        return []
+    gain = gains(model, line)
     good = [(name, float(gain[k])) for name, k in SWAPS.items() if gain[k] >= least]
     return sorted(good, key=lambda x: (-round(x[1], 3), SWAPS[x[0]]))
+
+
+def suspicion(model: LetterPairs, line: str, least: float) -> tuple[str | None, bool]:
+    """(swap, sure): the likeliest swap that reads better than the line, null if none does; sure if it gains `least`
+    and makes proper letters of what it changes."""
+    found = best_reading(model, line, 0.1, gate=False)
+    for swap, gain in found:
+        if gain >= least and model.proper(line, line_reading(line, swap)):
+            return swap, True
+    return (found[0][0], False) if found else (None, False)

@@ -14,7 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.runtime import cut, spread
@@ -24,12 +24,21 @@ LEAST_GAIN = 2.5
 #: Nats against any swap where nothing is known of a source, and how far a source's other documents may lower them.
 DOUBT = 5.5
 TRUST = 0.7
+#: Share of a source's different lines with high characters that must surely suffer a swap for all lines that it betters in the
+#: source to be left out of the counts.
+MOST_SUSPICIOUS = 0.02
 
 
-def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_text: str = "text", sample_lang: str = "lang", max_samples: int = 5000) -> ciphers.LetterPairs:
+def origin(source_col: str) -> Column:
+    """The host of an address, else its scheme, else nothing."""
+    return F.coalesce(F.parse_url(F.col(source_col), F.lit("HOST")), F.regexp_extract(source_col, r"^(\w+:/*[^/]*)", 1), F.lit(""))
+
+
+def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_text: str = "text", sample_lang: str = "lang", max_samples: int = 5000, source_col: str = "source") -> ciphers.LetterPairs:
     """Letter pairs of each language over all texts; alphabet and so the tables are of bounded size."""
     spark = docs.sparkSession
-    rows = docs.select(text_col)
+    source = origin(source_col) if source_col in docs.columns else F.lit("")
+    rows = docs.select(source.alias("source"), F.col(text_col).alias("text"))
     clean = samples.where(F.col(sample_text).isNotNull() & F.col(sample_lang).isNotNull()).select(sample_text, sample_lang, F.xxhash64(sample_text).alias("h"))
     clean = [(r[0], r[1]) for r in clean.orderBy("h").limit(max_samples).collect()]
 
@@ -44,7 +53,7 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
                     n.update(x.lower())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["c", "n"])
 
-    seen = rows.mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ciphers.ALPHABET).collect()
+    seen = rows.select("text").mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ciphers.ALPHABET).collect()
     alphabet = [r.c for r in seen if r.c and not r.c.isdigit()] + ["0"]
     languages = sorted({lang for _, lang in clean})
     size = len(alphabet) + ciphers.OTHER
@@ -56,19 +65,40 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
             np.add.at(counts[languages.index(lang)], (c[:-1], c[1:]), 1)
     first = spark.sparkContext.broadcast(ciphers.LetterPairs(alphabet, languages, counts))
 
+    # Pairs of suspicious lines are kept apart by source and swap until it is known how many lines of the source
+    # suffer it: foreign names and quoted signs turn up everywhere, a swap fills its source.
     def pairs(batches):
-        model, n = first.value, np.zeros(counts.shape, np.int32)
+        model, zero, kept = first.value, np.zeros(counts.shape, np.int32), {}
+        lines, seen = Counter(), set()
         for b in batches:
-            for x in b.column(0).to_pylist():
+            for source, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for line in set((x or "").split("\n")):
-                    if line and (line.isascii() or not ciphers.disguised(line)):
+                    swap = None
+                    if not line.isascii():
+                        if ciphers.disguised(line):
+                            continue
+                        swap, sure = ciphers.suspicion(model, line, LEAST_GAIN)
+                        if (key := hash((source, line))) not in seen:
+                            seen.add(key)
+                            lines[source, swap if sure else None] += 1
+                    if line:
                         c = model.encode(line)
                         lang = int(model.logp[c[:-1], c[1:]].sum(0).argmax())
-                        np.add.at(n[lang], (c[:-1], c[1:]), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at].astype(np.int64))], ["cell", "n"])
-
-    for r in rows.mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                        cells = np.ravel_multi_index((lang, c[:-1], c[1:]), counts.shape)
+                        if swap is None:
+                            np.add.at(zero.ravel(), cells, 1)
+                        else:
+                            kept.setdefault((source, swap), Counter()).update(cells.tolist())
+        rows = [(None, None, int(k), int(zero.ravel()[k])) for k in np.flatnonzero(zero)]
+        rows += [(s, w, -1, n) for (s, w), n in lines.items()]
+        rows += [(s, w, k, n) for (s, w), cells in kept.items() for k, n in cells.items()]
+        columns = zip(*rows) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["source", "swap", "cell", "n"])
+
+    found = cut(rows.mapInArrow(pairs, "source string, swap string, cell long, n long").groupBy("source", "swap", "cell").agg(F.sum("n").alias("n")))
+    lines = found.where("cell < 0").withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
+    bad = lines.where((F.col("share") >= MOST_SUSPICIOUS) & F.col("swap").isNotNull()).select("source", "swap")
+    for r in found.where("cell >= 0").join(bad, ["source", "swap"], "left_anti").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts.ravel()[r.cell] += r.n
     return ciphers.LetterPairs(alphabet, languages, counts)
 
@@ -95,8 +125,7 @@ def evidence(docs: DataFrame, id_col: str, text_col: str, source_col: str, model
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(swap, pa.string()), pa.array(gain, pa.float64())], ["id", "source", "swap", "gain"])
 
-    source = F.coalesce(F.parse_url(F.col(source_col), F.lit("HOST")), F.regexp_extract(source_col, r"^(\w+:/*[^/]*)", 1), F.lit(""))
-    once = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), source.alias("source"), F.col(text_col).alias("text"))
+    once = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), origin(source_col).alias("source"), F.col(text_col).alias("text"))
     return spread(once).mapInArrow(run, "id string, source string, swap string, gain double").distinct()
 
 

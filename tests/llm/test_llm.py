@@ -330,6 +330,35 @@ def test_wrong_readings(spark, data):
     assert encodings.wrong_readings(df.limit(0), "doc_id", "content", "source", model).count() == 0
 
 
+def test_a_hot_source_of_one_swap_does_not_pass_for_language(spark, data):
+    samples = spark.read.parquet(f"{data}/lang_samples.parquet")
+    texts = [(r.lang, r.text) for r in samples.orderBy("sample_id").collect()]
+    rng = random.Random(4)
+    for lang, meant, read in (("ru", "cp1251", "koi8-r"), ("fr", "cp1252", "mac-roman")):
+        own = ["".join(c for c in x if c.encode(meant, "ignore")) for k, x in texts if k == lang]
+        rows = [(f"ok{i}", x, f"https://s{i % 9}.example/{i}") for i, (_, x) in enumerate(texts)]
+        for k in range(len(texts) // 2):
+            body = "\n".join(rng.sample(own, 3))
+            rows.append((f"hot{k}", body.encode(meant).decode(read), f"https://hot.example/{k}"))
+        df = spark.createDataFrame(rows, "doc_id string, content string, source string")
+        model = encodings.fit_letter_pairs(df, "content", samples)
+        found = {r.id for r in encodings.wrong_readings(df, "doc_id", "content", "source", model).collect()}
+        hot = {i for i, x, _ in rows if i.startswith("hot") and not x.isascii()}
+        assert len(hot & found) >= 0.95 * len(hot) and len([i for i in found if i.startswith("ok")]) <= 5, (lang, len(hot & found), len(hot))
+
+
+def test_mac_roman_among_clean_documents(spark, data):
+    samples = spark.read.parquet(f"{data}/lang_samples.parquet")
+    clean = samples.collect()
+    fr = [r.text for r in clean if r.lang == "fr"]
+    text = "\n".join((fr[0], fr[2], fr[3]))
+    keep = "".join(c for c in text if c.encode("cp1252", "ignore"))
+    rows = [(f"ok{i}", r.text, "file:///a") for i, r in enumerate(clean)] + [("mac", keep.encode("cp1252").decode("mac-roman"), "https://mac.example/x")]
+    df = spark.createDataFrame(rows, "doc_id string, content string, source string")
+    wrong = encodings.wrong_readings(df, "doc_id", "content", "source", encodings.fit_letter_pairs(df, "content", samples))
+    assert "mac" in {r.id for r in wrong.collect()}
+
+
 def test_readings_and_marks():
     assert ciphers.readings("Ã¼")["cp1252>utf-8"] == "ü"
     assert ciphers.translation("koi8-r>cp1251", ["н"]) is not None and ciphers.translation("cp1252>utf-8", ["Ã¼"]) is None
