@@ -202,6 +202,11 @@ def rubric_dimensions(spark, sf):
     return stats.rubric(s).select("dimension", "status", "threshold", "weight")
 
 
+def rubric_exact(spark, sf):
+    """Rubric over the exact intervals of all metrics, as in the pipeline."""
+    return stats.rubric(stats.bootstrap(_long(spark, sf))).select("dimension", "status", "threshold", "weight")
+
+
 def compare_deltas(spark, sf):
     """BM25 against TF-IDF: reciprocal ranks at 10, paired by question."""
     c, q = corpus(spark, sf), asked(spark, sf)
@@ -304,7 +309,7 @@ QUERIES = (
     tokenize_tf, doc_freq, corpus_stats, bm25_topk, bm25_stopwords_topk, bm25_synonyms_topk, bm25_filtered_topk, keyword_topk,
     keyword_filtered_topk, cosine_topk, cosine_filtered_topk, vectorstore_topk, hybrid_rrf_topk, semantic_fallback_topk,
     rerank_overlap_topk, rerank_threshold_topk, rule_rewrite, filter_predicates, metrics_per_query, metric_means, scorer_recall,
-    bootstrap_native, bootstrap_exact, rubric_dimensions, compare_deltas, cited_context, evaluation_context, augmented_message,
+    bootstrap_native, bootstrap_exact, rubric_dimensions, rubric_exact, compare_deltas, cited_context, evaluation_context, augmented_message,
     context_dedupe, citation_precision, answer_correctness, abstention, answer_scalars, score_scalars, sentence_chunks,
     paragraph_chunks, fixed_chunks, semantic_chunks, source_formats, passages, embedding_bags, synthetic_eval,
 )

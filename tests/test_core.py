@@ -515,3 +515,9 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_exact_rubric_covers_every_ranking_metric(spark, data):
+    status = {r.dimension: r.status for r in catalog.queries()["rubric_exact"](spark, data).collect()}
+    assert len(status) == len(stats.RUBRIC)
+    assert all(status[d] in ("PASS", "FAIL") for d in ("ranking_recall", "ranking_mrr", "ranking_ndcg")) and status["faithfulness"] == "NA"
