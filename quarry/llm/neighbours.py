@@ -1,12 +1,14 @@
 """p5: the most similar vectors for every vector.
 
-Vectors go to the cell of their nearest centroid, where they ask for their neighbours, and as mere data also to
-their next nearest cells. In a cell the data are held as four-bit codes of their residuals, fitted with a
-score-aware loss; all asking vectors are scored against the codes, block by block (the sum of table entries of
-each code, evaluated as a matrix product with the decoded code words), and the best are ranked again by the exact
-cosine in double precision. Centroids and code words are fitted on a bounded sample; every vector is indexed.
-
-Vectors of one direction are met once, with their least ids; copies get their own rows at the end.
+Every vector is coded in four bits for each pair of its coordinates: the residual to its cell's centre, under a
+score-aware loss. The codes (16 bytes for 64 numbers) go to the vector's nearest cells; only to the home cell goes
+the vector itself, which asks there. A cell is searched by table scans: each asking vector's products with the
+code words stand in tables, and the tables' entries for a code add up to its score. What the scan leaves over is
+ranked by the exact cosine, for candidates of the home cell at once, for those of other cells, if their score may
+still matter, after their vectors have been fetched by a join. Cells with very many vectors are searched in blocks
+of asking vectors. Centres and code words are fitted on a bounded sample; every vector is indexed.
+
+Vectors of one direction are met once; copies get their own rows at the end.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.runtime import cut, shuffle_width, spread
-from quarry.llm.quantiser import ScoreAwareCodes, spherical_kmeans
+from quarry.functions.runtime import cores, cut, shuffle_width, spread
+from quarry.llm.quantiser import CellIndex
 
 
 def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +38,8 @@ def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    if not len(x):
+        return x
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -46,153 +50,161 @@ def directions(u: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in r], np.uint64).astype(np.int64)
 
 
-def pack(x: np.ndarray) -> tuple[int, bytes]:
-    """Values as two-byte decimals if that loses nothing, else as they are."""
-    for kind, scale in ((1, 1e4), (2, 1e3)):
-        y = np.round(x * scale)
-        if np.abs(y).max(initial=0) < 32768 and np.array_equal(y / scale, x):
-            return kind, y.astype("<i2").tobytes()
-    return 0, x.astype("<f8").tobytes()
-
-
-def unpack(kind: int, blob: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(blob, "<i2").astype(np.float64) / (1e4 if kind == 1 else 1e3) if kind else np.frombuffer(blob, "<f8")
-    return x.reshape(-1, dim)
-
-
-class Index:
-    """Centroids and code words; of fixed size, whatever the number of vectors."""
+def pack(x: np.ndarray) -> list[bytes]:
+    """Each row as two-byte decimals if that loses nothing, else as it is."""
+    y = np.round(x * 1e4)
+    short = (np.abs(y).max(1, initial=0) < 32768) & (y / 1e4 == x).all(1)
+    small = np.where(short[:, None], y, 0).astype("<i2")
+    return [s.tobytes() if ok else v.tobytes() for s, v, ok in zip(small, x.astype("<f8"), short.tolist())]
 
-    def __init__(self, sample: np.ndarray, cells: int, threshold: float):
-        x = sample.astype(np.float32)
-        self.centroids = spherical_kmeans(x, max(1, min(cells, len(x))))
-        residual = x - self.centroids[(x @ self.centroids.T).argmax(1)]
-        self.codes = ScoreAwareCodes(x.shape[1], threshold).fit(residual, x)
 
-    def cells_of(self, u: np.ndarray, copies: int) -> np.ndarray:
-        s = u.astype(np.float32) @ self.centroids.T
-        copies = min(copies, s.shape[1])
-        near = np.argpartition(-s, copies - 1, axis=1)[:, :copies]
-        order = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
-        return np.take_along_axis(near, order, 1)
+def unpack(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of numbers from `pack`; the length tells the kind."""
+    out = np.zeros((len(column), dim))
+    blobs = column.to_pylist()
+    short = np.array([len(b) == 2 * dim for b in blobs], bool)
+    for kind, scale, mine in (("<i2", 1e4, short), ("<f8", 1.0, ~short)):
+        if mine.any():
+            out[mine] = np.frombuffer(b"".join(b for b, m in zip(blobs, mine.tolist()) if m), kind).reshape(-1, dim) / scale
+    return out
 
-    def search(self, asks: np.ndarray, data: np.ndarray, cell: int, k: int, rerank: int, block: int = 512):
-        """Rows of data (unit vectors) most similar to each asking one, with exact cosines."""
-        d32 = data.astype(np.float32)
-        centre = self.centroids[cell]
-        decoded = self.codes.decode(self.codes.encode(d32 - centre, d32)) + centre
-        n = min(rerank, len(data))
-        for a in range(0, len(asks), block):
-            q = asks[a : a + block]
-            s = q.astype(np.float32) @ decoded.T
-            best = np.argpartition(s, len(data) - n, axis=1)[:, len(data) - n :]
-            exact = np.einsum("qnd,qd->qn", data[best], q)
-            yield a, best, exact
 
+def vectors(rows: DataFrame, dim: int, keep: int) -> DataFrame:
+    """(key, v, ids): each direction once, with the least `keep` ids that have it.
 
-def _min_ids(ids: list[str], more: list[str], keep: int) -> list[str]:
-    return sorted({*ids, *more})[:keep]
-
-
-PACKED = "place int, cell int, home boolean, kind int, keys binary, vectors binary, ids array<array<string>>"
-
+    The window's limit works before its shuffle, so a direction that a third of all rows share doesn't travel.
+    """
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, least: float = -2.0, cell_size: int = 2000, copies: int = 3, rerank: int = 64, sample: int = 65_536, most_cells: int = 8192, threshold: float = 0.6) -> DataFrame:
+    def read(batches):
+        for b in batches:
+            at, x = usable(b.column(1), dim)
+            key = directions(unit(x))
+            ids = b.column(0).take(pa.array(at))
+            once = np.array(sorted({pair: j for j, pair in enumerate(zip(key.tolist(), ids.to_pylist()))}.values()), np.int64)
+            take = pa.array(once)
+            yield pa.RecordBatch.from_arrays([pa.array(key[once]), ids.take(take), pa.array(pack(x[once]), pa.binary())], ["key", "id", "v"])
+
+    ranked = rows.mapInArrow(read, "key long, id string, v binary").withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy("id")))
+    return ranked.where(F.col("r") <= keep).groupBy("key").agg(F.min("v").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def search_cell(index: CellIndex, cell: int, table: pa.Table, dim: int, k: int, least: float, rerank: int, block: int = 256):
+    """(ask, candidate, cosine) of one cell: cosine is exact for candidates at home here, missing for others."""
+    key = table.column("key").to_numpy()
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
+    home = table.column("v").is_valid().to_numpy(zero_copy_only=False)
+    asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+    at_home = np.flatnonzero(home)
+    u = np.zeros((len(key), dim))
+    u[at_home] = unit(unpack(table.column("v").combine_chunks().take(pa.array(at_home)), dim))
+    n = min(rerank, len(key))
+    out = [[], [], []]
+    for a in range(0, len(asks), block):
+        mine = asks[a : a + block]
+        score, low, scale = index.scan(cell, u[mine], code)
+        # Everything that may reach `least`; where that is more than `rerank`, the best of it.
+        floor = np.clip(np.floor((least - index.margin - low) * scale), 0, 65535).astype(np.uint16)
+        if n < len(key):
+            floor = np.maximum(floor, np.partition(score, len(key) - n, axis=1)[:, len(key) - n])
+        q, d = np.nonzero(score >= floor[:, None])
+        other = key[d] != key[mine[q]]
+        q, d = q[other], d[other]
+        near = home[d]
+        exact = np.full(len(q), np.nan)
+        exact[near] = np.einsum("nd,nd->n", u[mine[q[near]]], u[d[near]])
+        # The k-th best at home is a bound for the cells around it.
+        order = np.lexsort((-np.nan_to_num(exact, nan=-9.0), q))
+        rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        kth = np.full(len(mine), least)
+        at_k = order[(rank == k - 1) & near[order]]
+        kth[q[at_k]] = np.maximum(exact[at_k], least)
+        approx = score[q, d] / scale[q] + low[q]
+        good = np.where(near, np.round(exact, 10) >= np.round(kth[q], 10), approx >= kth[q] - index.margin)
+        for column, value in zip(out, (key[mine[q[good]]], key[d[good]], exact[good])):
+            column.append(value)
+    ask, cand, cos = (np.concatenate(c) if c else np.zeros(0) for c in out)
+    return pa.table([pa.array(ask.astype(np.int64)), pa.array(cand.astype(np.int64)), pa.array(cos, pa.float64(), mask=np.isnan(cos))], ["ask", "cand", "cosine"])
+
+
+def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, least: float = -2.0, cell_size: int = 2000, copies: int = 3, rerank: int = 64, sample: int = 65_536, threshold: float = 0.6) -> DataFrame:
     """(id, neighbour, cosine, rank): for each id with a usable vector its k most similar other ids with a cosine
     of at least `least`; equal cosines (to 10 decimals) rank by smaller id.
 
     Usable vectors have dim numbers, all finite and not all zero; others, and rows with a null id, neither ask nor
-    answer. An id given twice counts once. Cells are as many as rows / cell_size, up to most_cells, fitted on at
-    most `sample` vectors; each vector is in `copies` cells; `rerank` candidates are scored exactly.
+    answer. An id given twice counts once. Cells are as many as vectors / cell_size, fitted on about `sample`
+    vectors chosen by a hash; each vector is in `copies` cells; `rerank` candidates of a cell are ranked exactly.
     """
     spark = df.sparkSession
     rows = spread(df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL"))
-    total = df.count()
-    share = min(1.0, sample / max(total, 1))
-    cells = int(np.clip(round(total / cell_size), 1, most_cells))
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(sample)
-
-    def only_usable(batches):
-        for b in batches:
-            _, x = usable(b.column(0), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([unit(x).astype("<f4").tobytes()] if len(x) else [], pa.binary())], ["x"])
-
-    parts = [np.frombuffer(r.x, "<f4").reshape(-1, dim) for r in picked.mapInArrow(only_usable, "x binary").collect()]
     schema = "id string, neighbour string, cosine double, rank int"
-    if not parts:
+    known = cut(vectors(rows, dim, k + 1))
+    total = known.count()
+    if not total:
         return spark.createDataFrame([], schema)
-    index = spark.sparkContext.broadcast(Index(np.concatenate(parts), cells, threshold))
-    places, keep = shuffle_width(spark), k + 1
+    limit = F.lit(min(1.0, sample / total) * 2.0**63)
+    picked = known.where(F.xxhash64("key").bitwiseAND(F.lit((1 << 63) - 1)).cast("double") <= limit).select("v")
+    drawn = picked.toArrow().column("v")
+    fitted = CellIndex(unit(unpack(drawn, dim)), total, cell_size, copies, threshold)
+    index = spark.sparkContext.broadcast(fitted)
 
     def deal(batches):
         for b in batches:
-            at, x = usable(b.column(1), dim)
-            if not len(x):
-                continue
-            ids = b.column(0).take(pa.array(at)).to_pylist()
-            u = unit(x)
-            key = directions(u)
-            order = np.lexsort((np.array(ids), key))
-            first = np.r_[True, key[order][1:] != key[order][:-1]]
-            starts = np.flatnonzero(first)
-            rep = order[starts]
-            least_ids = [[ids[i] for i in order[s : min(s + keep, e)]] for s, e in zip(starts, [*starts[1:], len(order)])]
-            near = index.value.cells_of(u[rep], copies)
-            out = []
-            for cell in np.unique(near).tolist():
-                for home in (True, False):
-                    mine = np.flatnonzero(near[:, 0] == cell if home else (near[:, 1:] == cell).any(1))
-                    if len(mine):
-                        kind, blob = pack(x[rep[mine]])
-                        out.append((cell % places, cell, home, kind, key[rep[mine]].astype("<i8").tobytes(), blob, [least_ids[i] for i in mine]))
-            cols = list(zip(*out))
-            types = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["place", "cell", "home", "kind", "keys", "vectors", "ids"])
-
-    def answer(batches):
-        held: dict[int, list] = {}
+            key, v = b.column(0).to_numpy(), b.column(1)
+            u = unit(unpack(v, dim))
+            cells, codes = index.value.place(u)
+            parts = index.value.blocks_of(cells)
+            # A vector's codes go to every block of a cell; it asks in one of those of its home.
+            row, turn = np.nonzero(np.ones_like(cells, bool))
+            times = parts.ravel()
+            row, turn = np.repeat(row, times), np.repeat(turn, times)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            mine = turn == 0
+            asks = mine & (block == (key.astype(np.uint64)[row] % parts[row, turn].astype(np.uint64)).astype(np.int64))
+            blobs = [x.tobytes() for x in codes.reshape(-1, codes.shape[-1])]
+            columns = [
+                pa.array(cells[row, turn], pa.int64()),
+                pa.array(block, pa.int32()),
+                pa.array(key[row]),
+                pa.array(asks),
+                pa.array(blobs, pa.binary()).take(pa.array(row * cells.shape[1] + turn)),
+                v.take(pa.array(np.where(mine, row, 0), mask=~mine)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "block", "key", "asks", "code", "v"])
+
+    def search(group, table):
+        return search_cell(index.value, group[0].as_py(), table, dim, k, least, rerank)
+
+    width = max(shuffle_width(spark), 4 * cores(spark), fitted.cells // 64)
+    placed = known.select("key", "v").mapInArrow(deal, "cell long, block int, key long, asks boolean, code binary, v binary").repartition(width, "cell", "block")
+    met = cut(placed.groupBy("cell", "block").applyInArrow(search, "ask long, cand long, cosine double"))
+
+    def measure(batches):
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
-                held.setdefault(r[0], []).append(r[1:])
-        for cell in list(held):
-            got = held.pop(cell)
-            key = np.concatenate([np.frombuffer(keys, "<i8") for _, _, keys, _, _ in got])
-            u = unit(np.concatenate([unpack(kind, blob, dim) for _, kind, _, blob, _ in got]))
-            home = np.concatenate([np.full(len(i), h) for h, _, _, _, i in got])
-            ids = [i for *_, own in got for i in own]
-            order = np.lexsort((~home, key))
-            starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-            own = []
-            for s, e in zip(starts, [*starts[1:], len(order)]):
-                i = ids[order[s]]
-                for j in order[s + 1 : e]:
-                    i = _min_ids(i, ids[j], keep)
-                own.append(i)
-            rep = order[starts]
-            asking = np.flatnonzero(home[rep])
-            data = u[rep]
-            out_key, out_id, out_cos = [], [], []
-            for a, best, exact in index.value.search(data[asking], data, cell, k, rerank):
-                good = np.round(exact, 10)
-                cut_at = np.partition(good, max(0, good.shape[1] - keep), axis=1)[:, max(0, good.shape[1] - keep)]
-                for q in range(len(best)):
-                    use = np.flatnonzero((good[q] >= cut_at[q]) & (good[q] >= least))
-                    flat = sorted((-c, i) for c, j in zip(good[q, use].tolist(), best[q, use].tolist()) for i in own[j])[:keep]
-                    out_key += [key[rep[asking[a + q]]]] * len(flat)
-                    out_id += [i for _, i in flat]
-                    out_cos += [-c for c, _ in flat]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out_key, np.int64)), pa.array(out_id, pa.string()), pa.array(out_cos, pa.float64())], ["key", "neighbour", "cosine"])
+            cos = np.einsum("nd,nd->n", unit(unpack(b.column(2), dim)), unit(unpack(b.column(3), dim)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cos)], ["a", "b", "cosine"])
+
+    afar = met.where("cosine IS NULL").select(F.least("ask", "cand").alias("a"), F.greatest("ask", "cand").alias("b")).distinct()
+    afar = afar.join(known.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(known.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
+    afar = afar.select("a", "b", "va", "vb").mapInArrow(measure, "a long, b long, cosine double").where(F.col("cosine") >= least)
+    both = afar.select(F.explode(F.array(F.struct(F.col("a").alias("ask"), F.col("b").alias("cand")), F.struct(F.col("b").alias("ask"), F.col("a").alias("cand")))).alias("p"), "cosine")
+    pairs = met.where(F.col("cosine") >= least).unionByName(both.select("p.*", "cosine")).groupBy("ask", "cand").agg(F.max("cosine").alias("cosine"))
+    best = pairs.withColumn("r", F.rank().over(Window.partitionBy("ask").orderBy(F.round("cosine", 10).desc()))).where(F.col("r") <= k)
+
+    def entries(cosine):
+        return F.transform("ids", lambda i: F.struct((-F.round(cosine, 10)).alias("c"), i.alias("n"), cosine.alias("x")))
+
+    named = best.join(known.select(F.col("key").alias("cand"), "ids"), "cand").select("ask", entries(F.col("cosine")).alias("e"))
+    others = named.groupBy(F.col("ask").alias("key")).agg(F.flatten(F.collect_list("e")).alias("e"))
+    own = entries(F.lit(1.0))
+    lists = known.select("key", "ids").join(others, "key", "left").select("key", F.slice(F.array_sort(F.concat(own, F.coalesce("e", F.slice(own, 1, 0)))), 1, k + 1).alias("e"))
 
     def member_keys(batches):
         for b in batches:
             at, x = usable(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([pa.array(directions(unit(x)) if len(x) else [], pa.int64()), b.column(0).take(pa.array(at))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(directions(unit(x)), pa.int64()), b.column(0).take(pa.array(at))], ["key", "id"])
 
-    found = rows.mapInArrow(deal, PACKED).repartitionById(places, F.col("place")).mapInArrow(answer, "key long, neighbour string, cosine double")
-    lists = found.groupBy("key").agg(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("neighbour").alias("n"))).alias("near"))
-    own = rows.mapInArrow(member_keys, "key long, id string").distinct()
-    mine = own.join(lists, "key").select("id", F.posexplode(F.slice(F.filter(F.array_sort("near"), lambda x: x["n"] != F.col("id")), 1, k)).alias("rank", "x"))
-    return mine.select("id", F.col("x.n").alias("neighbour"), (-F.col("x.c")).alias("cosine"), (F.col("rank") + 1).cast("int").alias("rank"))
+    mine = rows.mapInArrow(member_keys, "key long, id string").distinct().join(lists.where(F.size("e") > 1), "key")
+    return mine.select("id", F.posexplode(F.slice(F.filter("e", lambda x: x["n"] != F.col("id")), 1, k)).alias("rank", "x")).select("id", F.col("x.n").alias("neighbour"), F.col("x.x").alias("cosine"), (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def similar_neighbour_pairs(near: DataFrame, least: float) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -280,6 +281,46 @@ def test_copies_rank_by_smaller_id(spark):
     assert near == {"c00": ["c01", "c02", "c03", "c04", "c05"], "c11": ["c00", "c01", "c02", "c03", "c04"]}
 
 
+def test_rows_given_twice_cost_no_neighbour(spark):
+    x = np.random.default_rng(3).normal(size=(40, 64))
+    rows = [(f"d{k:02d}", v.tolist()) for k, v in enumerate(x) for _ in range(2)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id string, embedding array<double>").coalesce(1), "id", "embedding").collect()
+    near: dict = {}
+    for r in got:
+        near.setdefault(r.id, set()).add(r.neighbour)
+    assert len(got) == 200 and len(near) == 40 and all(len(n) == 5 for n in near.values())
+
+
+def test_cells_in_blocks_and_fine_cells_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(clusters(rng, 20, 30), 4)
+    monkeypatch.setattr(quantiser.CellIndex, "BLOCK_WORK", 20_000)
+    df = spark.createDataFrame([(f"v{k:04d}", v.tolist()) for k, v in enumerate(x)], "id string, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5]}
+    for coarse in (4096, 4):
+        monkeypatch.setattr(quantiser.CellIndex, "COARSE", coarse)
+        got = {(r.id, r.neighbour) for r in neighbours.nearest(df, "id", "embedding", cell_size=60).collect()}
+        assert len(got & best) >= 0.9 * len(best)
+
+
+def test_table_scan_is_the_product_with_the_decoded_codes():
+    rng = np.random.default_rng(6)
+    x = clusters(rng, 12, 60).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = quantiser.CellIndex(x, len(x), 120, 2, 0.6)
+    cells, codes = index.place(x)
+    mine = np.flatnonzero(cells[:, 0] == cells[0, 0])
+    score, low, scale = index.scan(int(cells[0, 0]), x[:50], codes[mine, 0])
+    packed = codes[mine, 0]
+    plain = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(mine), -1)
+    want = x[:50] @ (index.codes.decode(plain) + index.centre(cells[0, 0])).T
+    assert codes.dtype == np.uint8 and codes.shape[2] == 16
+    assert np.abs(score / scale[:, None] + low[:, None] - want).max() < 1e-3
+
+
 def test_score_aware_codes_keep_large_products():
     rng = np.random.default_rng(2)
     x = clusters(rng, 20, 50).astype(np.float32)
@@ -294,7 +335,7 @@ def test_score_aware_codes_keep_large_products():
 @settings(max_examples=40, deadline=None)
 def test_packing_loses_nothing(values):
     for x in (np.array([values]), np.round(np.array([values]), 4)):
-        assert np.array_equal(neighbours.unpack(*neighbours.pack(x), 64), x)
+        assert np.array_equal(neighbours.unpack(pa.array(neighbours.pack(x), pa.binary()), 64), x)
 
 
 # ---- p1
