@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import boilerplate, encodings, language, leakage, nearduplicates, neighbours, splitting, tokenize
@@ -49,18 +49,28 @@ def p3_main(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_content(docs, *KB, boilerplate.fit_line_model(docs, *KB))
 
 
-def oversized_items(spark: SparkSession, folder: str) -> DataFrame:
-    documents = splitting.oversized(table(spark, folder, "kb_documents"), "doc_id", "content", 2000, "document")
-    chunks = splitting.oversized(table(spark, folder, "chunks"), "id", "content", 1000, "chunk")
-    return documents.unionByName(chunks)
+def _cut_table(spark: SparkSession, folder: str, content: bool) -> DataFrame:
+    documents = splitting.oversized_ranges(table(spark, folder, "kb_documents"), "doc_id", "content", 2000, "document")
+    chunks = splitting.oversized_ranges(table(spark, folder, "chunks"), "id", "content", 1000, "chunk")
+    return splitting.cut_ranges(documents.unionByName(chunks), content=content)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return oversized_items(spark, folder).select("item_kind", "item_id")
+    return _cut_table(spark, folder, False).where(F.size("pieces") > 0).select("item_kind", "item_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_items(oversized_items(spark, folder))
+    return splitting.split_items(_cut_table(spark, folder, True))
+
+
+def p4_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each item amount to: characters covered, and whether size, overlap and cover are kept."""
+    before = F.lag("stop").over(Window.partitionBy("item_kind", "item_id").orderBy("piece_no"))
+    rows = p4_pieces(spark, folder).withColumn("shared", before - F.col("start"))
+    fits = F.max(F.length("content")) <= 1000
+    whole = F.bool_and((F.length("content") == F.col("stop") - F.col("start")) & F.coalesce(F.col("shared") >= 0, F.lit(True)))
+    kept = rows.groupBy("item_kind", "item_id").agg((F.max("stop") - F.min("start")).alias("n_chars"), fits.alias("fits"), (F.coalesce(F.max("shared"), F.lit(0)) <= 50).alias("overlaps"), whole.alias("whole"))
+    return kept
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,12 +107,16 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+#: Content without white space at its ends.
+STRIPPED = r"regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')"
+OVERSIZED = f"""
+    SELECT 'document' AS item_kind, doc_id AS item_id, length({STRIPPED}) AS n_chars FROM kb_documents WHERE length({STRIPPED}) > 2000 GROUP BY ALL
+    UNION ALL
+    SELECT 'chunk', id, length({STRIPPED}) FROM chunks WHERE length({STRIPPED}) > 1000 GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": r"""
-            SELECT 'document' AS item_kind, doc_id AS item_id FROM kb_documents
-            WHERE length(regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')) > 2000 GROUP BY doc_id
-            UNION ALL
-            SELECT 'chunk', id FROM chunks
-            WHERE length(regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')) > 1000 GROUP BY id""",
+        "p4_found": f"SELECT item_kind, item_id FROM ({OVERSIZED})",
+        "p4_whole": f"SELECT item_kind, item_id, n_chars, true AS fits, true AS overlaps, true AS whole FROM ({OVERSIZED})",
     }

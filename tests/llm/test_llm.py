@@ -206,9 +206,9 @@ def test_no_samples(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("abc. \n界!"), max_size=400))
-def test_pieces_make_up_the_text(text):
-    cut = splitting.pieces(text, 40, 10)
+@given(st.text(alphabet=st.sampled_from("abc. \n界!"), max_size=400), st.sampled_from([40, 64, 1000]))
+def test_pieces_make_up_the_text(text, width):
+    cut = splitting.pieces(text, 40, 10, width)
     stripped = text.strip()
     if not stripped:
         return
@@ -219,16 +219,43 @@ def test_pieces_make_up_the_text(text):
     assert all(b - a <= 40 for a, b in cut)
     if len(stripped) <= 40:
         assert len(cut) == 1
-
-
-def test_oversized_and_split(spark):
-    rows = [("a", " " + "x" * 1000 + "  "), ("b", "word " * 400), ("b", "word " * 400), ("c", None), ("d", "　" * 3000), ("e", "")]
-    df = spark.createDataFrame(rows, "id string, content string").selectExpr("*", "'q' AS item_id")
-    big = splitting.oversized(df, "id", "content", 1000, "chunk")
-    assert [r.item_id for r in big.collect()] == ["b"]
-    cut = splitting.split_items(big).orderBy("piece_no").collect()
-    assert "".join(r.content[(cut[i - 1].stop - r.start if i else 0) :] for i, r in enumerate(cut)) == ("word " * 400).strip()
-    assert splitting.oversized(df.limit(0), "id", "content", 5, "x").count() == 0
+    assert splitting.WHITE == "".join(c for c in map(chr, range(0x110000)) if c.isspace()) or width != 40
+
+
+def split(df, width=1 << 18):
+    ranges = splitting.oversized_ranges(df, "id", "content", 1000, "chunk", width=width)
+    return splitting.split_items(splitting.cut_ranges(ranges, width=width)).orderBy("item_id", "piece_no").collect()
+
+
+@pytest.mark.parametrize("width", [1000, 1 << 18])
+def test_oversized_and_split(spark, width):
+    word = "word " * 400
+    rows = [("a", " " + "x" * 1000 + "  "), ("b", "\u2003" + word), ("b", "\u2003" + word), ("c", None), ("d", "　" * 3000), ("e", ""), (None, word), ("f", word * 20 + "\x1c")]
+    df = spark.createDataFrame(rows, "id string, content string").selectExpr("*", "'q' AS item_id", "1 AS k", "2 AS body")
+    cut = split(df, width)
+    assert {r.item_id for r in cut} == {"b", "f"}
+    for i, text in (("b", rows[1][1]), ("f", rows[-1][1])):
+        own = [r for r in cut if r.item_id == i]
+        assert [r.piece_no for r in own] == list(range(len(own)))
+        assert [(r.start, r.stop) for r in own] == splitting.pieces(text, 1000, 50, width)
+        assert all(text[r.start : r.stop] == r.content and len(r.content) <= 1000 for r in own)
+        assert "".join(r.content[(own[n - 1].stop - r.start if n else 0) :] for n, r in enumerate(own)) == text.strip()
+    assert split(df.limit(0)) == []
+
+
+def test_one_giant_row_is_cut_in_many_ranges(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["wörter ", "界面。", "line\n", "end. ", "\n\n", "x" * 70]) for _ in range(300_000))
+    own = split(spark.createDataFrame([("g", text)], "id string, content string"))
+    assert len(text) > 4 << 20 and own[-1].stop == len(text.rstrip())
+    assert all(len(r.content) <= 1000 for r in own) and [r.piece_no for r in own] == list(range(len(own)))
+    assert all(0 <= a.stop - b.start <= 50 and b.stop > a.stop for a, b in zip(own, own[1:]))
+
+
+def test_running_totals(spark):
+    df = spark.range(50).selectExpr("id AS k", "id * 3 % 7 AS n")
+    got = {r.k: r.n_before for r in splitting.running_totals(df, 50, "k", ["n"], block=4).collect()}
+    assert got == {k: sum(i * 3 % 7 for i in range(k)) for k in range(50)}
 
 
 @pytest.mark.parametrize("range_bytes", [700, 5000, 1 << 20])
