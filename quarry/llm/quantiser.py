@@ -124,25 +124,25 @@ class CellIndex:
         self.fines = nearest_means(residual, fine) if fine > 1 else np.zeros((1, x.shape[1]), np.float32)
         self.copies = min(copies, len(self.centres))
         self.cells = len(self.centres) * len(self.fines)
-        near, residual = self._near(x)
-        fit = residual[:, 0][: self.CODE_SAMPLE]
-        self.codes = ScoreAwareCodes(x.shape[1], threshold).fit(fit, x[: len(fit)])
+        near = np.concatenate([self._near(x[a : a + 4096])[0] for a in range(0, len(x), 4096)])
+        some = x[: self.CODE_SAMPLE]
+        fit = some - self.centre(near[: len(some), 0])
+        self.codes = ScoreAwareCodes(x.shape[1], threshold).fit(fit, some)
         # Blocks of asking vectors by the cells' shares of the sample.
         n = len(self.fines)
         share = np.bincount(near[:, 0] // n, minlength=len(self.centres)), np.bincount(near.ravel() // n, minlength=len(self.centres))
         scale = total / len(x) / n
         self.blocks = np.maximum(1, np.ceil(share[0] * scale * share[1] * scale / self.BLOCK_WORK)).astype(np.int64)
-        self.margin = self._margin(x, near, residual)
+        self.margin = self._margin(some, near[:, 0], fit)
 
-    def _margin(self, x: np.ndarray, near: np.ndarray, residual: np.ndarray, asks: int = 512) -> float:
+    def _margin(self, x: np.ndarray, home: np.ndarray, residual: np.ndarray, asks: int = 256) -> float:
         """By how much a score may miss the cosine, for all but one in 40 of the sample's nearest."""
         some = np.linspace(0, len(x) - 1, min(asks, len(x))).astype(int)
         s = x[some] @ x.T
         n = min(16, len(x))
-        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        flat = best.ravel()
-        said = self.codes.decode(self.codes.encode(residual[flat, 0], x[flat])) + self.centre(near[flat, 0])
-        error = np.einsum("nd,nd->n", said, np.repeat(x[some], n, axis=0)) - np.take_along_axis(s, best, 1).ravel()
+        flat = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
+        said = self.codes.decode(self.codes.encode(residual[flat], x[flat])) + self.centre(home[flat])
+        error = ((said - x[flat]) * np.repeat(x[some], n, axis=0)).sum(1)
         return float(np.quantile(np.abs(error), 0.975)) + 1e-3
 
     def centre(self, cells):
