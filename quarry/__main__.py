@@ -54,9 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("export-tool-schema").add_argument("--form", default="canonical", choices=["canonical", "mcp", "openai", "anthropic"])
     args = parser.parse_args(argv)
     if args.command == "export-tool-schema":
-        from quarry.plans.export import FORMS
+        from quarry.plans.export import rendered
 
-        print(json.dumps(FORMS[args.form](), indent=2))
+        print(json.dumps(rendered(args.form), indent=2))
         return 0
     spark = _session()
     if args.command == "compare":

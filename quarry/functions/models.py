@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry import errors
 from quarry.functions import text
+from quarry.functions.runtime import exists
 
 RETRY = (429, 500, 502, 503, 529)
 
@@ -97,27 +98,27 @@ def embed_column(embedder: Callable[[list[str]], list]):
     return run
 
 
-def with_vectors(chunks: DataFrame, embedder: Callable[[list[str]], list], vector: str = "embedding") -> DataFrame:
-    """Vectors for the chunks that lack one; each distinct content is embedded once."""
+def with_vectors(chunks: DataFrame, embedder: Callable[[list[str]], list], vector: str = "embedding", cache: str | None = None, model: str = "default") -> DataFrame:
+    """Vectors for the chunks that lack one; each distinct content is embedded once, and met again by its hash. A
+    null content is embedded as an empty one. With a cache folder only contents new to it are embedded."""
     if vector not in chunks.columns:
         chunks = chunks.withColumn(vector, F.lit(None).cast("array<double>"))
-    missing = chunks.where(F.col(vector).isNull()).select(F.col("content").alias("_c")).distinct()
-    made = missing.withColumn("_v", embed_column(embedder)("_c"))
-    joined = chunks.join(made, F.col("content").eqNullSafe(F.col("_c")), "left")
-    return joined.withColumn(vector, F.coalesce(vector, "_v")).drop("_c", "_v")
+    keyed = chunks.withColumn("_key", F.when(F.col(vector).isNull(), F.sha2(F.coalesce("content", F.lit("")), 256)))
+    missing = keyed.where("_key IS NOT NULL").select(F.coalesce("content", F.lit("")).alias("content"), F.col("_key").alias("key")).dropDuplicates(["key"])
+    made = missing.select("key", embed_column(embedder)("content").alias("vector")) if cache is None else cached_vectors(missing, embedder, cache, model)
+    joined = keyed.join(made.select(F.col("key").alias("_key"), F.col("vector").alias("_v")), "_key", "left")
+    return joined.withColumn(vector, F.coalesce(vector, "_v")).drop("_key", "_v")
 
 
 def cached_vectors(contents: DataFrame, embedder: Callable[[list[str]], list], folder: str, model: str) -> DataFrame:
-    """(key, vector) of contents(content) from a Parquet cache keyed by model and content hash; only new ones are made."""
+    """(key, vector) of contents(content) from a Parquet cache keyed by model and content hash; only new ones are
+    made, and those that couldn't be are tried again next time."""
     spark = contents.sparkSession
     path = f"{folder}/{re.sub(r'[^A-Za-z0-9_.-]', '_', model)}"
     wanted = contents.select("content", F.sha2("content", 256).alias("key")).dropDuplicates(["key"])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    new = wanted.join(spark.read.parquet(path).select("key"), "key", "left_anti") if there else wanted
-    made = new.select("key", embed_column(embedder)("content").alias("vector")).where("vector IS NOT NULL")
-    made.write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted.select("key"), "key", "left_semi")
+    new = wanted.join(spark.read.parquet(path).select("key"), "key", "left_anti") if exists(spark, path) else wanted
+    new.select("key", embed_column(embedder)("content").alias("vector")).where("vector IS NOT NULL").write.mode("append").parquet(path)
+    return spark.read.parquet(path).dropDuplicates(["key"]).join(wanted.select("key"), "key", "left_semi")
 
 
 class HttpChat:

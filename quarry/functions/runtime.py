@@ -21,13 +21,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; an own one only where spark.checkpoint.dir is unset (local tests)."""
+    """The folder that spark.checkpoint.dir names. Only a local session without one gets an own temporary folder;
+    on a cluster that would be a folder of one machine, so there it's an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     sc.setCheckpointDir(own)
     return own
@@ -44,10 +47,24 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin df over the cluster only if it arrives in fewer partitions than there are cores."""
-    want = cores(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    """Round-robin df over the cluster only if it is read in fewer partitions than there are cores. A frame that
+    has been shuffled already stays as it is: asking for its partitions would run the shuffle."""
+    want, run = cores(df.sparkSession), df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    return df if run.toRdd().getNumPartitions() >= want else df.repartition(want)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 TOKEN = r"[\p{L}\p{N}_]+"
 #: White space of any Unicode kind; \s alone is that of ASCII in the JVM.
 WHITE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -46,15 +52,46 @@ def stopwords(spec) -> list[str] | None:
     if spec is True:
         return STOPWORDS["en"]
     if isinstance(spec, str):
+        if spec.lower() not in STOPWORDS:
+            log.warning("no stopwords %r; no word is left out", spec)
         return STOPWORDS.get(spec.lower())
     return sorted({str(w).lower() for w in spec})
 
 
-def tokens(text: Column, stop=None) -> Column:
-    """Lower-case runs of letters, digits and underscores, in order; null gives none."""
+def stemmer(spec):
+    """A function from words to stems: "id" if the Indonesian stemmer's library is installed, else None with a warning."""
+    if spec is None or spec is False:
+        return None
+    if spec != "id":
+        log.warning("no stemmer %r; words stay as they are", spec)
+        return None
+    try:
+        from Sastrawi.Stemmer.StemmerFactory import StemmerFactory
+    except ImportError:
+        log.warning("stemmer 'id' needs Sastrawi; words stay as they are")
+        return None
+    return lru_cache(200_000)(StemmerFactory().create_stemmer().stem)
+
+
+def stemmed(terms: Column, spec) -> Column:
+    """Terms as the stemmer gives them, in Arrow batches; the terms themselves without one."""
+    if stemmer(spec) is None:
+        return terms
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        stem = stemmer(spec)
+        return lists.map(lambda ws: [stem(w) for w in ws])
+
+    return run(terms)
+
+
+def tokens(text: Column, stop=None, stem=None) -> Column:
+    """Lower-case runs of letters, digits and underscores, in order; null gives none. Words are left out before the
+    others are stemmed."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     drop = stopwords(stop)
-    return F.filter(found, lambda t: ~t.isin(drop)) if drop else found
+    return stemmed(F.filter(found, lambda t: ~t.isin(drop)) if drop else found, stem)
 
 
 def expand(terms: Column, synonyms: dict[str, list[str]] | None) -> Column:

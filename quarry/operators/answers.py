@@ -44,6 +44,20 @@ def correctness_score(answer: Column, expected: Column) -> Column:
     return F.when(F.coalesce(expected, F.lit("")) == "", 1.0).when(blank, 0.0).otherwise(answer_correctness(answer, expected))
 
 
+def judged_score(answer: Column, expected: Column, chat: Callable[[str], str] | None) -> Column:
+    """The judge's number where something is expected and answered; the deterministic score where it gives none."""
+    plain = correctness_score(answer, expected)
+    if chat is None:
+        return plain
+
+    @F.pandas_udf("double")
+    def ask(a: pd.Series, e: pd.Series) -> pd.Series:
+        blank = lambda x: not (x or "").strip()
+        return pd.Series([None if blank(x) or blank(y) else judged_correctness(chat, x, y) for x, y in zip(a, e)], dtype="float64")
+
+    return F.coalesce(ask(answer, expected), plain)
+
+
 def abstention(answer: Column, out_of_scope: Column) -> Column:
     """1 in scope; out of scope, whether the answer abstains."""
     low = F.lower(F.coalesce(answer, F.lit("")))

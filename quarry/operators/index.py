@@ -1,39 +1,104 @@
-"""Inverted index as relations: postings, term statistics, corpus statistics."""
+"""Inverted index as relations: postings, term statistics, lengths and norms, corpus statistics.
+
+A corpus is computed from its chunks where it is asked, or read from an index that was saved once: postings sorted
+by term, so that a search reads the row groups of its own terms alone.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.functions.runtime import exists, hadoop_path, shared_dir
+
+TABLES = ("chunks", "postings", "terms", "lengths", "statistics")
 
 
 @dataclass
 class Corpus:
     """chunks(id, doc_id, content, source, ...), each id once. Statistics are always those of all chunks; filters
-    only restrict which chunks may be answers."""
+    only restrict which chunks may be answers. `stored` holds the tables of a saved index."""
 
     chunks: DataFrame
     stop: object = None
+    stored: dict[str, DataFrame] = field(default_factory=dict)
+    stem: object = None
 
     def tokens(self) -> DataFrame:
         """(id, terms, dl)"""
-        terms = self.chunks.select("id", text.tokens(F.col("content"), self.stop).alias("terms"))
+        terms = self.chunks.select("id", text.tokens(F.col("content"), self.stop, self.stem).alias("terms"))
         return terms.withColumn("dl", F.size("terms"))
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(id, term, tf, dl); of the given terms only, if any, which are looked up before anything is shuffled."""
-        rows = self.tokens().select("id", "dl", F.explode("terms").alias("term"))
+        stored = self.stored.get("postings")
+        rows = self.tokens().select("id", "dl", F.explode("terms").alias("term")) if stored is None else stored
         if terms is not None:
             rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-        return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")) if stored is None else rows
+
+    def frequencies(self, postings: DataFrame | None = None) -> DataFrame:
+        """(term, df), of the postings' terms at least."""
+        if "terms" in self.stored:
+            return self.stored["terms"]
+        return document_frequency(self.postings() if postings is None else postings)
 
     def statistics(self) -> DataFrame:
         """One row (n, avgdl); an average of 0 counts as 1."""
+        if "statistics" in self.stored:
+            return self.stored["statistics"]
         return self.tokens().agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).select("n", F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avgdl"))
 
+    def lengths(self) -> DataFrame:
+        """(id, norm): the length of each chunk's TF-IDF vector; chunks without terms have none."""
+        if "lengths" in self.stored:
+            return self.stored["lengths"]
+        posts = self.postings()
+        weights = weighted(posts, self.frequencies(posts), self.statistics())
+        return weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    def save(self, folder: str) -> Corpus:
+        """Writes the index and gives the corpus that reads it. The statistics come last: with them it is whole."""
+        spark = self.chunks.sparkSession
+
+        def write(name: str, rows: DataFrame) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        own = Corpus(write("chunks", self.chunks), self.stop, stem=self.stem)
+        # By term and id: a term that every chunk has is cut into several files.
+        posts = own.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        own.stored["postings"] = write("postings", posts)
+        own.stored["terms"] = write("terms", document_frequency(own.stored["postings"]))
+        statistics = own.statistics()
+        weights = weighted(own.stored["postings"], own.stored["terms"], statistics)
+        own.stored["lengths"] = write("lengths", weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+        own.stored["statistics"] = write("statistics", statistics)
+        return own
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, stop=None, stem=None) -> Corpus:
+        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+        return cls(tables.pop("chunks"), stop, tables, stem)
+
+
+def kept(spark: SparkSession, source: str, chunks, stop=None, stem=None) -> Corpus:
+    """The saved index of a table's chunks (given as a function), in the shared folder; saved now if the table's
+    files, the words left out or the stemmer aren't those of an index that is there."""
+    p, fs = hadoop_path(spark, source)
+    files = [f for f in fs.listStatus(p)] if fs.exists(p) else []
+    about = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    key = hashlib.sha256(json.dumps([source, about, stop, stem], default=str).encode()).hexdigest()[:20]
+    folder = f"{shared_dir(spark)}/quarry-index-{key}"
+    if exists(spark, f"{folder}/statistics/_SUCCESS"):
+        return Corpus.load(spark, folder, stop, stem)
+    return Corpus(chunks(), stop, stem=stem).save(folder)
+
 
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -45,3 +110,9 @@ def idf_bm25(n, df):
 
 def idf_tfidf(n, df):
     return F.log((n + 1) / (df + 1)) + 1
+
+
+def weighted(postings: DataFrame, frequencies: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(id, term, w): TF-IDF weights."""
+    idf = frequencies.crossJoin(F.broadcast(statistics)).select("term", idf_tfidf(F.col("n"), F.col("df")).alias("idf"))  # one row
+    return postings.join(idf, "term").select("id", "term", (F.col("tf") / F.greatest("dl", F.lit(1)) * F.col("idf")).alias("w"))

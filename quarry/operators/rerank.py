@@ -7,6 +7,7 @@ Python. Results are those of `retrieve`, fetched deeper by `depth`.
 from __future__ import annotations
 
 import json
+import logging
 import math
 import os
 import urllib.request
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
+log = logging.getLogger(__name__)
+
 #: Most documents a provider takes at once.
 CAPS = {"jina": 2048, "cohere": 100, "local": 10_000}
 Scorer = Callable[[str, list[str]], "list[tuple[int, float]] | None"]
@@ -53,20 +56,20 @@ def gate(reranked: DataFrame, base: DataFrame, k: int, threshold: float | None)
 
 
 def cross_encoder(results: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, scorer: Scorer, provider: str, score_threshold: float | None = None) -> DataFrame:
-    """Scores by any scorer, called once a query; indexes out of range are skipped, a failure keeps the base order."""
+    """Scores by any scorer, called once a query. Rows that can't be used are skipped (an index out of range or no
+    index, no number); a scorer that fails or gives nothing usable leaves the base order, stamped as failed."""
     rows = results.join(queries.select("qid", "query"), "qid").join(chunks.select("id", "content"), "id")
     kinds = dict(rows.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
         try:
-            scores = scorer(group["query"].iloc[0], group["content"].fillna("").tolist())
+            good = usable_scores(scorer(group["query"].iloc[0], group["content"].fillna("").tolist()), len(group))
         except Exception:
-            scores = None
-        if scores is None:
+            good = []
+        if not good:
             out = group.assign(base_rank=group["rank"], score=-group["rank"].astype(float), retrieval_method=[f"rerank:failed({provider},{m})" for m in group["retrieval_method"]], real=group["score"])
             return out[["qid", "id", "base_rank", "score", "real", "retrieval_method"]]
-        good = [(i, float(s)) for i, s in scores if 0 <= i < len(group)]
         out = group.iloc[[i for i, _ in good]].assign(score=[s for _, s in good])
         out = out.assign(base_rank=out["rank"], real=out["score"], retrieval_method=[f"rerank:{provider}({m})" for m in out["retrieval_method"]])
         return out[["qid", "id", "base_rank", "score", "real", "retrieval_method"]]
@@ -77,6 +80,19 @@ def cross_encoder(results: DataFrame, queries: DataFrame, chunks: DataFrame, k:
     return gate(ranked.select("qid", "rank", "id", F.col("real").alias("score"), "retrieval_method"), results, k, score_threshold)
 
 
+def usable_scores(scores, n: int) -> list[tuple[int, float]]:
+    """(index, score) of the rows that point to one of n documents, each document once."""
+    good: dict[int, float] = {}
+    for row in scores or []:
+        try:
+            i, s = int(row[0]), float(row[1])
+        except (TypeError, ValueError, IndexError):
+            continue
+        if 0 <= i < n and not math.isnan(s):
+            good.setdefault(i, s)
+    return list(good.items())
+
+
 def overlap_scorer(query: str, documents: list[str]) -> list[tuple[int, float]]:
     import re
 
@@ -143,6 +159,7 @@ def build_scorer(conf) -> tuple[Scorer, str] | None:
         return LocalScorer(conf.get("model", "BAAI/bge-reranker-v2-m3")), provider
     key = conf.get("api_key") or os.environ.get(f"{provider.upper()}_API_KEY")
     if not key:
+        log.warning("rerank provider %s has no key; results are not reranked", provider)
         return None
     base = {"jina": "https://api.jina.ai/v1", "cohere": "https://api.cohere.com/v2"}[provider]
     model = {"jina": "jina-reranker-v3", "cohere": "rerank-v3.5"}[provider]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import ConfigError
 from quarry.functions.models import with_vectors
+from quarry.functions.runtime import cut
 from quarry.operators import answers as answer_scores
 from quarry.operators import augment, metrics, rerank, rewrite, stats
 from quarry.operators.index import Corpus
@@ -33,7 +34,7 @@ def load_config(path: str) -> dict:
 
 def build_chunks(spark: SparkSession, conf: dict, embedder: Callable | None = None) -> DataFrame:
     """chunks(id, doc_id, content, chunk_index, source, source_format) of the configured documents."""
-    docs = files.documents(spark, conf.get("documents") or [], conf.get("max_document_size_mb", 10), conf.get("document_cache_path"))
+    docs = files.documents(spark, conf.get("documents") or [], conf.get("max_document_size_mb", 10), conf.get("document_cache_path"), registry.parser.components())
     name = conf.get("chunker", "paragraph")
     name = name if name in registry.chunker.names() else "paragraph"
     chunks = registry.chunker.get(name)(docs, **registry.chunker.settings(name, conf, embedder=embedder))
@@ -70,6 +71,15 @@ class Pipeline:
         kept = [c for c in ("id", "doc_id", "content", "source") if c in self.corpus.chunks.columns]
         return base.join(self.corpus.chunks.select(kept), "id")
 
+    def augmented(self, queries: DataFrame, k: int | None = None, where: dict | None = None) -> DataFrame:
+        """(qid, message) by the configured augmentation, in_memory if none is."""
+        name = registry.augmentation.get(self.conf.get("augmentation", "in_memory"), "in_memory")
+        return name(queries, self.retrieve(queries, k, where), self.conf.get("relevance_threshold"))
+
+    def close(self) -> None:
+        """Lets go of what the pipeline holds in the executors' memory."""
+        self.corpus.chunks.unpersist()
+
     def _base(self, queries: DataFrame, k: int, where: dict | None) -> DataFrame:
         name = self.conf.get("retriever", "keyword")
         if self.store is not None:
@@ -91,7 +101,7 @@ def build_pipeline(spark: SparkSession, conf: dict | None, chunks: DataFrame | N
     chunks = build_chunks(spark, conf, embedder) if chunks is None else chunks
     name, store = conf.get("retriever", "keyword"), None
     if name in ("semantic", "hybrid", "vectorstore") and embedder is not None:
-        chunks = with_vectors(chunks, embedder)
+        chunks = with_vectors(chunks, embedder, cache=conf.get("embedding_cache_path"), model=str(conf.get("embedding_model", "default")))
     elif "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<double>"))
     chunks = chunks.persist()
@@ -99,7 +109,7 @@ def build_pipeline(spark: SparkSession, conf: dict | None, chunks: DataFrame | N
         section = conf.get("vectorstore") or {}
         store = Store(spark, section.get("backend", "memory"), section.get("path"), embedder)
         store.add(chunks)
-    return Pipeline(conf, Corpus(chunks, conf.get("stopwords")), embedder, chat, store, rerank.build_scorer(conf.get("rerank")))
+    return Pipeline(conf, Corpus(chunks, conf.get("stopwords"), stem=conf.get("stemmer")), embedder, chat, store, rerank.build_scorer(conf.get("rerank")))
 
 
 def sampled(qrels: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
@@ -107,7 +117,9 @@ def sampled(qrels: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     if not n:
         return qrels
     ids = [r.qid for r in qrels.select("qid").distinct().orderBy("qid").collect()]
-    return qrels.where(F.col("qid").isin(random.Random(seed).sample(ids, min(n, len(ids)))))
+    picked = random.Random(seed).sample(ids, min(n, len(ids)))
+    kind = qrels.schema["qid"].dataType.simpleString()
+    return qrels.join(qrels.sparkSession.createDataFrame([(i,) for i in picked], f"qid {kind}"), "qid", "left_semi")
 
 
 @dataclass
@@ -146,6 +158,9 @@ def evaluate(pipeline: Pipeline, qrels: DataFrame, dataset: str, k: int = 10, n:
     dimensions = stats.rubric(summary)
     overall = stats.decision(dimensions).collect()[0].asDict()
     count = cases.count()
+    summary, dimensions = cut(summary), cut(dimensions)
+    for held in (cases, results):
+        held.unpersist()
     return Report(dataset, count, k, long, summary, dimensions, overall, fingerprint(pipeline.conf, dataset, metrics.METRICS, k, count))
 
 
@@ -167,7 +182,7 @@ def generated_scores(cases: DataFrame, results: DataFrame, k: int, generate: Cal
     rows = cases.join(contexts, "qid").join(sources, "qid", "left").withColumn("answer", answer("context", "query"))
     names = {
         "citation_precision": answer_scores.citation_precision(F.col("answer"), F.col("sources"), k),
-        "answer_correctness": answer_scores.correctness_score(F.col("answer"), F.col("expected_answer")),
+        "answer_correctness": answer_scores.judged_score(F.col("answer"), F.col("expected_answer"), judge),
         "abstention": answer_scores.abstention(F.col("answer"), F.col("out_of_scope")),
     }
     scored = rows.select("qid", *[c.alias(n) for n, c in names.items()]).unpivot("qid", list(names), "name", "value")

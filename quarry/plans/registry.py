@@ -39,6 +39,9 @@ class Registry:
         log.warning("no %s %r; %r is used", self.kind, name, default)
         return self._own[default]
 
+    def components(self) -> dict:
+        return dict(self._own)
+
     def names(self) -> list[str]:
         return sorted(self._own)
 

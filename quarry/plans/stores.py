@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import ConfigError
 from quarry.functions.models import with_vectors
+from quarry.functions.runtime import cut, hadoop_path
 from quarry.operators.index import Corpus
 from quarry.operators.retrieve import semantic
 
 BACKENDS = ("memory", "faiss", "chroma", "pgvector")
 
 
+def _latest(rows: DataFrame, generation: str | None) -> DataFrame:
+    """One row for each id, the one of the latest generation."""
+    order = Window.partitionBy("id").orderBy(F.desc(generation) if generation else F.lit(1))
+    kept = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return kept.drop(generation) if generation else kept
+
+
 class Store:
     """One store class for every backend name: exact cosine, filters before the cut, upsert by id.
 
@@ -26,31 +35,46 @@ class Store:
             raise ConfigError(f"no vector store {backend!r}")
         self.spark, self.backend, self.path, self.embedder = spark, backend, path, embedder
         self._chunks: DataFrame | None = None
-        self._generation = 0
+
+    def _generations(self) -> list[str]:
+        p, fs = hadoop_path(self.spark, self.path)
+        names = [s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])]
+        return sorted(n for n in names if n.startswith("generation-"))
 
     def _stored(self) -> DataFrame | None:
-        if self.path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            found = sorted(s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else []) if s.getPath().getName().startswith("generation-"))
-            self._generation = int(found[-1].split("-")[1]) if found else 0
-            return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
-        return self._chunks
+        """The latest of each id."""
+        if not self.path:
+            return self._chunks
+        rows = [self.spark.read.parquet(f"{self.path}/{g}").withColumn("_g", F.lit(i)) for i, g in enumerate(self._generations())]
+        if not rows:
+            return None
+        together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        return together.drop("_g") if len(rows) == 1 else _latest(together, "_g")
 
     def add(self, chunks: DataFrame) -> None:
-        """Embeds chunks without vectors; ids known already are replaced, chunks that can't be embedded left out."""
+        """Embeds chunks without vectors; ids known already are replaced, chunks that can't be embedded left out.
+
+        With a path each addition is a generation of its own beside the older ones; `compact` makes them one.
+        """
         if self.embedder is not None:
             chunks = with_vectors(chunks, self.embedder)
-        chunks = chunks.where(F.size("embedding") > 0).withColumn("_new", F.lit(1))
-        old = self._stored()
-        if old is not None:
-            chunks = chunks.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-        order = Window.partitionBy("id").orderBy(F.desc("_new"))
-        chunks = chunks.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new")
+        chunks = _latest(chunks.where(F.size("embedding") > 0), None)
         if self.path:
-            chunks.write.parquet(f"{self.path}/generation-{self._generation + 1:06d}")
-        else:
-            self._chunks = chunks.persist()
+            held = self._generations()
+            chunks.write.parquet(f"{self.path}/generation-{int(held[-1].split('-')[1]) + 1 if held else 1:06d}")
+            return
+        old = self._chunks
+        both = chunks if old is None else _latest(chunks.withColumn("_g", F.lit(1)).unionByName(old.withColumn("_g", F.lit(0)), allowMissingColumns=True), "_g")
+        self._chunks = cut(both)
+
+    def compact(self) -> None:
+        """Writes the latest of each id as one generation and drops those before it."""
+        held = self._generations() if self.path else []
+        if len(held) > 1:
+            self._stored().write.parquet(f"{self.path}/generation-{int(held[-1].split('-')[1]) + 1:06d}")
+            for name in held:
+                p, fs = hadoop_path(self.spark, f"{self.path}/{name}")
+                fs.delete(p, True)
 
     def count(self) -> int:
         rows = self._stored()

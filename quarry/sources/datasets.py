@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,17 @@ def csv_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(spark: SparkSession, name: str, path: str | None = None) -> tuple[str, DataFrame, str | None]:
-    """synthetic; json or byo and csv with a path; msmarco and tydi-id from the JSON files that the builders write."""
+    """synthetic; json or byo and csv with a path; msmarco and tydi-id from the JSON files that the builders write,
+    by default those in the folder QUARRY_DATASETS."""
     if name == "synthetic":
         return "synthetic", synthetic_qrels(spark), None
-    if name in ("json", "byo", "msmarco", "tydi-id", "tydi_id", "tydi") and path:
+    own = {"msmarco": "msmarco", "tydi-id": "tydi-id", "tydi_id": "tydi-id", "tydi": "tydi-id"}.get(name)
+    if own:
+        path = path or str(Path(os.environ.get("QUARRY_DATASETS", "datasets")) / f"{own}.json")
+        if not Path(path).exists():
+            raise ConfigError(f"dataset {own} isn't at {path}; the corpus builders write it")
+        return own, *json_qrels(spark, path)[1:]
+    if name in ("json", "byo") and path:
         return json_qrels(spark, path)
     if name == "csv" and path:
         return Path(path).stem, csv_qrels(spark, path), None
@@ -79,12 +87,17 @@ def passage_corpus(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return corpus, gold.select("qid", "g.query", F.col("g.doc_id").alias("gold_doc"), F.array(needle).alias("gold_needles"), F.lit(None).cast("string").alias("expected_answer"), F.lit(False).alias("out_of_scope"))
 
 
+def drawn(key, seed: int):
+    """A repeatable order of a seeded draw."""
+    return F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
+
+
 def answer_corpus(rows: DataFrame, distractors: DataFrame, n: int, density: int = 3000, least: int = 80, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Questions sampled from rows(qid, query, context, answer), their needle the answer's first ten words, and a
     corpus of their contexts filled up to `density` with distractors(text) of at least `least` letters."""
-    picked = rows.orderBy(F.xxhash64("qid", F.lit(seed)), "qid").limit(n)
+    picked = rows.orderBy(drawn(F.col("qid"), seed), "qid").limit(n)
     own = picked.select(text.passage_id(F.col("context")).alias("doc_id"), F.col("context").alias("content")).dropDuplicates(["doc_id"])
     more = distractors.where(F.length("text") >= least).select(text.passage_id(F.col("text")).alias("doc_id"), F.col("text").alias("content")).dropDuplicates(["doc_id"]).join(own.select("doc_id"), "doc_id", "left_anti")
     fill = max(0, density - own.count())
     qrels = picked.select("qid", "query", text.passage_id(F.col("context")).alias("gold_doc"), F.array(text.snippet(F.col("answer"))).alias("gold_needles"), F.col("answer").alias("expected_answer"), F.lit(False).alias("out_of_scope"))
-    return own.unionByName(more.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fill)), qrels
+    return own.unionByName(more.orderBy(drawn(F.col("doc_id"), seed), "doc_id").limit(fill)), qrels

@@ -120,7 +120,7 @@ def parse(name: str, data: bytes, hint: str | None = None, parsers=None) -> tupl
         return data.decode("utf-8", "replace"), {"source_format": kind}
 
 
-def parse_files(files: DataFrame, hint: str | None = None, max_bytes: int = 10 << 20) -> DataFrame:
+def parse_files(files: DataFrame, hint: str | None = None, max_bytes: int = 10 << 20, parsers: dict | None = None) -> DataFrame:
     """documents(doc_id, title, content, source_format, page_count, table_count, path) of files(path, length, content).
 
     The length filter reaches the scan; files without text are left out. doc_id is the file's stem.
@@ -130,7 +130,7 @@ def parse_files(files: DataFrame, hint: str | None = None, max_bytes: int = 10 <
     def read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = []
         for p, c in zip(path, content):
-            text, meta = parse(p, bytes(c), hint)
+            text, meta = parse(p, bytes(c), hint, parsers)
             rows.append((text, meta.get("source_format"), meta.get("page_count"), meta.get("table_count")))
         return pd.DataFrame(rows, columns=["text", "source_format", "page_count", "table_count"]).astype({"page_count": "Int32", "table_count": "Int32"})
 

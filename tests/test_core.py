@@ -74,6 +74,9 @@ def test_chunker_cases():
     assert chunkers.paragraphs("body.\n\n# Last") == ["body.", "# Last"]
     assert chunkers.paragraphs("# A\n\n# B\n\nx") == ["# A", "# B\n\nx"]
     assert len(chunkers.paragraphs("a" * 120, 10)) >= 2
+    snapped = "One two. Three four.\nFive six seven"
+    assert chunkers.windows(snapped, 16, 3)[:2] == ["One two.", "o. Three four."]
+    assert chunkers.windows("ab\ncd\nef gh", 7, 0) == ["ab\ncd", "ef gh"]
     assert len(chunkers.packed(chunkers.sentences("Short one. Also short. Plus more text."), 15)) == 3
     plain = "x" * 1200
     assert [len(c) for c in chunkers.windows(plain)] == [500, 500, 300, 50] and [len(c) for c in chunkers.windows(plain, drop_tail=True)] == [500, 500, 300]
@@ -366,7 +369,13 @@ def test_crawl_and_http(spark):
     def call(path, body=None):
         return {"id": "1"} if body else {"status": "completed", "data": [{"markdown": "# x", "metadata": {"sourceURL": "https://a.example/p"}}, {"html": ""}]}
 
-    assert [r.path for r in files.crawl(spark, "https://a.example", call=call, wait=0).collect()] == ["p.md"]
+    crawl = lambda call: files.crawl(spark, "https://a.example", call=call, wait=0, polls=2, guard=lambda h: h == "a.example")
+    assert [r.path for r in crawl(call).collect()] == ["p.md"]
+    for state in ({"status": "failed"}, {"status": "scraping", "data": None}, {}):
+        with pytest.raises(files.Incomplete):
+            crawl(lambda path, body=None, state=state: {"id": "1"} if body and state else state)
+    with pytest.raises(PermissionError):
+        files.crawl(spark, "https://a.example", call=call, guard=lambda h: False)
     fetched = files.http(spark, ["https://a.example/ok.txt", "https://a.example/bad"], fetcher=lambda u, *a: b"yes" if u.endswith("txt") else 1 / 0)
     assert [(r.path, bytes(r.content)) for r in fetched.collect()] == [("ok.txt", b"yes")]
 
@@ -420,6 +429,59 @@ def test_embedding_cache(spark, tmp_path):
     assert models.cached_vectors(more, models.BagEmbedder(), str(tmp_path), "bag/1").count() == 3
 
 
+def test_failed_reads_are_not_cached(spark, tmp_path):
+    spec, tries = {"source": "http", "url": "https://a.example"}, []
+    page = spark.createDataFrame([("p.md", 1, bytearray(b"x"))], files.SCHEMA)
+
+    def read():
+        tries.append(1)
+        if len(tries) == 1:
+            raise files.Incomplete("half done")
+        return files.none(spark) if len(tries) == 2 else page
+
+    got = [files.cached(spark, spec, str(tmp_path), read).count() for _ in range(4)]
+    assert got == [0, 0, 1, 1] and len(tries) == 3
+
+
+def test_rerank_fails_softly(spark):
+    rows = [("c1", "cats are great pets"), ("c2", "dogs are loyal pets")]
+    c = Corpus(spark.createDataFrame([(i, i, t, i) for i, t in rows], "id string, doc_id string, content string, source string"))
+    q = ask(spark, "loyal pets")
+    base = retrieve.bm25(q, c, 2)
+    for scores in ([], [(99, 1.0)], [("x", None)], [(0, float("nan"))], None, 7):
+        got = rerank.cross_encoder(base, q, c.chunks, 2, lambda q, d, scores=scores: scores, "jina").orderBy("rank").collect()
+        assert [r.id for r in got] == ["c2", "c1"] and {r.retrieval_method for r in got} == {"rerank:failed(jina,bm25)"}
+
+
+def test_saved_index_gives_the_same(spark, tmp_path):
+    plain = corpus(spark)
+    saved = Corpus.load(spark, plain.save(str(tmp_path / "i")) and str(tmp_path / "i"))
+    q = ask(spark, "cat on the loyal mat mat", "python zzz", "", None)
+    for search in (retrieve.bm25, retrieve.keyword):
+        want, got = ({(r.qid, r.id, r["rank"], round(r.score, 12)) for r in search(q, c, 4).collect()} for c in (plain, saved))
+        assert want and got == want
+    empty = Corpus(plain.chunks.limit(0)).save(str(tmp_path / "e"))
+    assert retrieve.bm25(q, empty, 3).count() == retrieve.keyword(q, empty, 3).count() == 0
+
+
+def test_draws_are_those_of_the_generator():
+    for n in (2, 7, 64, 300):
+        rng = random.Random(5)
+        assert list(stats.draws(n, 500, 5)) and [int(x) for d in stats.draws(n, 500, 5, 100) for x in d] == [rng.randrange(n) for _ in range(500)]
+
+
+def test_registered_parsers_and_augmentations_take_effect(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("alpha")
+    own = parsers.PARSERS | {"text": lambda data: (data.decode().upper(), {"source_format": "loud"})}
+    assert [(r.content, r.source_format) for r in files.documents(spark, [str(tmp_path)], parsers=own).collect()] == [("ALPHA", "loud")]
+    registry.augmentation.register("bare")(lambda queries, results, relevance_threshold=None: queries.select("qid", F.lit("bare").alias("message")))
+    pipe = build_pipeline(spark, {"retriever": "bm25", "augmentation": "bare"}, datasets.synthetic_chunks(spark))
+    assert pipe.augmented(ask(spark, "dna")).collect()[0].message == "bare"
+    pipe.conf["augmentation"] = "in_memory"
+    assert "double helix" in pipe.augmented(ask(spark, "dna genetic instructions")).collect()[0].message
+    pipe.close()
+
+
 # ---- composition
 
 
@@ -432,6 +494,8 @@ def test_store(spark, tmp_path):
         store.add(rows)
         store.add(rows.where("id = 'c2'"))
         assert store.count() == 2
+        store.compact()
+        assert store.count() == 2
         best = store.search(q, 1).collect()[0]
         assert (best.id, best.retrieval_method) == ("c2", "vectorstore:memory")
         assert [r.id for r in store.search(q, 5, {"source": "bio"}).collect()] == ["c1"]
@@ -485,7 +549,8 @@ def test_registry_scorers_config(spark, tmp_path):
 def test_export_and_command_line(capsys):
     from quarry.__main__ import main, metric_at
 
-    assert export.to_mcp()["inputSchema"] == export.tool_schema()["input_schema"] == export.to_openai()["function"]["parameters"]
+    assert export.rendered("mcp")["inputSchema"] == export.rendered("canonical")["input_schema"] == export.rendered("openai")["function"]["parameters"]
+    assert export.rendered("canonical") == export.tool_schema() and export.rendered("openai")["type"] == "function"
     assert export.openai_arguments({"function": {"name": "search", "arguments": '{"query": "x"}'}}) == {"query": "x"}
     assert export.anthropic_arguments({"name": "search", "input": {"query": "y"}}) == {"query": "y"}
     assert main(["export-tool-schema", "--form", "anthropic"]) == 0 and json.loads(capsys.readouterr().out)["name"] == "search"
