@@ -75,7 +75,7 @@ def test_chunker_cases():
     assert chunkers.paragraphs("# A\n\n# B\n\nx") == ["# A", "# B\n\nx"]
     assert len(chunkers.paragraphs("a" * 120, 10)) >= 2
     snapped = "One two. Three four.\nFive six seven"
-    assert chunkers.windows(snapped, 16, 3)[:2] == ["One two.", "o. Three four."]
+    assert chunkers.windows(snapped, 16, 3)[:3] == ["One two.", "wo.", "Three four."]
     assert chunkers.windows("ab\ncd\nef gh", 7, 0) == ["ab\ncd", "ef gh"]
     assert len(chunkers.packed(chunkers.sentences("Short one. Also short. Plus more text."), 15)) == 3
     plain = "x" * 1200
