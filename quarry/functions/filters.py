@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORDER = {"$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v}
+SIGNS = {"$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<="}
 
 
 def _field(df: DataFrame, name: str) -> tuple[Column | None, T.DataType | None]:
@@ -62,3 +63,40 @@ def predicate(df: DataFrame, where: dict | None) -> Column:
             else:
                 clauses.append(F.lit(False))
     return reduce(lambda a, b: a & b, clauses, F.lit(True))
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(float(value)) + "D" if isinstance(value, float) else str(value).lower()
+
+
+def as_sql(df: DataFrame, where: dict | None) -> str:
+    """The predicate as SQL text, for sources that take their filters so; with the same meaning, never null."""
+
+    def named(name: str) -> tuple[str | None, T.DataType | None]:
+        column, kind = _field(df, name)
+        inside = column is not None and name.split(".")[0] not in df.columns
+        return None if column is None else ".".join(f"`{p}`" for p in (["metadata"] if inside else []) + name.split(".")), kind
+
+    def equal(column, kind, value) -> str:
+        if value is None:
+            return "true" if column is None else f"{column} IS NULL"
+        if column is None or not _comparable(kind, value):
+            return "false"
+        left = f"CAST({column} AS INT)" if isinstance(kind, T.BooleanType) else column
+        return f"{left} <=> {_literal(float(value) if isinstance(value, bool) else value)}"
+
+    clauses = []
+    for name, clause in (where or {}).items():
+        column, kind = named(name)
+        if not isinstance(clause, dict):
+            clauses.append(equal(column, kind, clause))
+            continue
+        for op, operand in clause.items():
+            if op == "$in":
+                clauses.append(" OR ".join(f"({equal(column, kind, v)})" for v in operand) or "false")
+            elif op in SIGNS and column is not None and operand is not None and _comparable(kind, operand):
+                left = f"CAST({column} AS INT)" if isinstance(kind, T.BooleanType) else column
+                clauses.append(f"coalesce({left} {SIGNS[op]} {_literal(float(operand) if isinstance(operand, bool) else operand)}, false)")
+            else:
+                clauses.append("false")
+    return " AND ".join(f"({c})" for c in clauses) or "true"

@@ -174,7 +174,7 @@ def detect_format(path: Column, content: Column | None = None) -> Column:
     found = F.when(ext.isin(".txt", ".md", ".markdown", ".rst", ".text"), "text").when(ext.isin(".html", ".htm", ".xhtml"), "html")
     found = found.when(ext == ".pdf", "pdf").when(ext == ".docx", "docx")
     if content is not None:
-        head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
+        head = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 64), "ISO-8859-1"), r"^\s+", ""))
         found = found.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "pdf").when(head.startswith("<!doctype") | head.startswith("<html"), "html")
     return found.otherwise("text")
 

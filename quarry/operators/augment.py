@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +67,13 @@ def on_the_fly(conversations: DataFrame, contexts: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(changed, message(F.col("context"), F.col("text"))).otherwise(F.col("text"))).drop("context")
 
 
+def _three_digits(x: pd.Series) -> pd.Series:
+    """The double itself rounded, as printf does; the JVM's formatter rounds its shortest decimal form."""
+    return x.map(lambda v: f"{v:.3f}")
+
+
 def markdown(results: DataFrame, with_method: bool = True) -> DataFrame:
     """(qid, text): results as numbered blocks for a reader or a tool's answer."""
-    head = F.format_string("[%d] [Source: %s] (score: %.3f" + (", method: %s)" if with_method else ")"), F.col("rank"), F.coalesce("source", F.col("doc_id").cast("string")), "score", *([F.col("retrieval_method")] if with_method else []))
+    head = F.format_string("[%d] [Source: %s] (score: %s" + (", method: %s)" if with_method else ")"), F.col("rank"), F.coalesce("source", F.col("doc_id").cast("string")), F.pandas_udf(_three_digits, "string")("score"), *([F.col("retrieval_method")] if with_method else []))
     rows = results.select("qid", F.struct("rank", F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("text")).alias("x"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n\n---\n\n").alias("text"))

@@ -6,22 +6,37 @@ Rows that a table delivers twice count once.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import models, text
-from quarry.functions.filters import predicate
+from quarry.functions.filters import as_sql, predicate
+from quarry.functions.runtime import shared_dir
 from quarry.operators import answers as answer_scores
 from quarry.operators import augment, chunkers, metrics, rerank, retrieve, rewrite, stats
-from quarry.operators.index import Corpus, document_frequency, idf_bm25, idf_tfidf
+from quarry.operators.index import Corpus, idf_bm25, idf_tfidf, kept
 from quarry.plans import scorers
 from quarry.plans.oracles import oracle_sql  # noqa: F401
-from quarry.sources import datasets
+from quarry.plans.stores import Store
+from quarry.sources import datasets, parsers
 from quarry.sources.tables import delivered_once, table
 
 SYNONYMS = {"parcel": ["package", "plates"], "manual": ["notebook"]}
 WHERE = {"source_format": {"$in": ["html", "text"]}, "chunk_index": {"$gte": 2}, "lang": "en"}
 K = 10
+#: Filters that the filter queries count by.
+FILTERS = {
+    "equal": {"lang": "de"},
+    "missing": {"source": None},
+    "range": {"chunk_index": {"$gt": 1, "$lte": 7}},
+    "in_with_none": {"source_format": {"$in": ["pdf", None]}},
+    "across_types": {"chunk_index": {"$gte": "3"}},
+    "unknown_operator": {"lang": {"$near": "en"}},
+    "empty": {},
+    "conjunction": WHERE,
+}
 
 
 # ---- tables
@@ -32,8 +47,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "doc_id", "content", "metadata.source", "metadata.source_format", "metadata.lang", "metadata.chunk_index", "embedding")
 
 
-def corpus(spark: SparkSession, sf: str, stop=None) -> Corpus:
-    return Corpus(chunks(spark, sf), stop)
+def corpus(spark: SparkSession, sf: str, stop=None, stem=None) -> Corpus:
+    """The saved index of the folder's chunks; the first query that needs it saves it."""
+    return kept(spark, f"{sf}/chunks.parquet", lambda: chunks(spark, sf).drop("embedding"), stop, stem)
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +84,7 @@ def tokenize_tf(spark, sf):
 
 def doc_freq(spark, sf):
     c = corpus(spark, sf)
-    rows = document_frequency(c.postings()).crossJoin(F.broadcast(c.statistics()))
+    rows = c.frequencies().crossJoin(F.broadcast(c.statistics()))
     return rows.select("term", "df", F.round(idf_bm25(F.col("n"), F.col("df")), 6).alias("idf_bm25"), F.round(idf_tfidf(F.col("n"), F.col("df")), 6).alias("idf_tfidf"))
 
 
@@ -76,6 +92,15 @@ def corpus_stats(spark, sf):
     return corpus(spark, sf).statistics().select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def index_norms(spark, sf):
+    return corpus(spark, sf).lengths().select("id", F.round("norm", 6).alias("norm"))
+
+
+def stemmed_df(spark, sf):
+    """Document frequencies under the Indonesian stemmer; those of the words themselves where it isn't installed."""
+    return corpus(spark, sf, "id", "id").frequencies().select("term", "df")
+
+
 def bm25_topk(spark, sf):
     return found(retrieve.bm25(asked(spark, sf), corpus(spark, sf), K))
 
@@ -116,14 +141,38 @@ def cosine_filtered_topk(spark, sf):
     return found(retrieve.semantic(q, c, K, where={"label": {"$lt": 3}}))
 
 
+def chunk_cosine_topk(spark, sf):
+    """The same questions against all chunks with a usable vector."""
+    rows = delivered_once(table(spark, sf, "chunks"), "id").where("size(embedding) = 64 AND exists(embedding, x -> x <> 0)")
+    rows = rows.where("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    return found(retrieve.semantic(vectors(spark, sf)[0], Corpus(rows.select("id", "embedding")), K))
+
+
+def _store(spark, sf, backend: str) -> Store:
+    """All vectors, some of them added under a wrong label before."""
+    store = Store(spark, backend, f"{shared_dir(spark)}/quarry-store-{uuid.uuid4().hex}")
+    rows = vectors(spark, sf)[1].chunks
+    store.add(rows.where("id % 3 = 0").withColumn("label", F.lit(-1)))
+    store.add(rows)
+    return store
+
+
 def vectorstore_topk(spark, sf):
-    q, c = vectors(spark, sf)
-    return found(retrieve.semantic(q, c, 5, method="vectorstore:memory"))
+    return found(_store(spark, sf, "memory").search(vectors(spark, sf)[0], 5))
+
+
+def vectorstore_filtered_topk(spark, sf):
+    return found(_store(spark, sf, "faiss").search(vectors(spark, sf)[0], 5, {"label": {"$lt": 3}}))
+
+
+def vectorstore_count(spark, sf):
+    return spark.createDataFrame([(_store(spark, sf, "chroma").count(),)], "n long")
 
 
 def _bags(spark, sf) -> tuple[DataFrame, Corpus]:
-    c = chunks(spark, sf).withColumn("embedding", models.bag_embedding(F.col("content")))
-    return asked(spark, sf).withColumn("embedding", models.bag_embedding(F.col("query"))), Corpus(c)
+    c = corpus(spark, sf)
+    rows = c.chunks.withColumn("embedding", models.bag_embedding(F.col("content")))
+    return asked(spark, sf).withColumn("embedding", models.bag_embedding(F.col("query"))), Corpus(rows, stored=c.stored)
 
 
 def hybrid_rrf_topk(spark, sf):
@@ -146,6 +195,31 @@ def rerank_threshold_topk(spark, sf):
     return found(rerank.overlap(retrieve.bm25(q, c, rerank.depth(5)), q, c.chunks, 5, 0.8))
 
 
+def _moody(query: str, documents: list[str]):
+    """A scorer that gives nothing, points nowhere, fails or works, by the length of the query."""
+    turn = len(query) % 4
+    if turn == 2:
+        raise OSError("no answer")
+    return [[], [(len(documents) + 5, 1.0)], None, rerank.overlap_scorer(query, documents)][turn]
+
+
+def rerank_soft_topk(spark, sf):
+    q, c = asked(spark, sf), corpus(spark, sf)
+    return found(rerank.cross_encoder(retrieve.bm25(q, c, rerank.depth(5)), q, c.chunks, 5, _moody, "own"))
+
+
+def rewritten_topk(spark, sf):
+    """BM25 by the rewritten query."""
+    return found(retrieve.bm25(rewrite.rewrite(asked(spark, sf)), corpus(spark, sf), K))
+
+
+def chat_rewrite(spark, sf):
+    """Rewriting by a chat model that answers to some questions only."""
+    chat = models.PatternChat({"Question: [HW]": "short form"})
+    rows = rewrite.rewrite(qrels(spark, sf).where("query IS NOT NULL").select("qid", "query"), "llm", chat)
+    return rows.select("qid", "query_original", "query_effective", "rewrite_method")
+
+
 def rule_rewrite(spark, sf):
     return rewrite.rewrite(qrels(spark, sf).where("query IS NOT NULL").select("qid", "query")).select("qid", "query_original", "query_effective", "rewrite_method")
 
@@ -153,18 +227,15 @@ def rule_rewrite(spark, sf):
 def filter_predicates(spark, sf):
     """How many chunks pass each of several filters."""
     rows = chunks(spark, sf)
-    tests = {
-        "equal": {"lang": "de"},
-        "missing": {"source": None},
-        "range": {"chunk_index": {"$gt": 1, "$lte": 7}},
-        "in_with_none": {"source_format": {"$in": ["pdf", None]}},
-        "across_types": {"chunk_index": {"$gte": "3"}},
-        "unknown_operator": {"lang": {"$near": "en"}},
-        "empty": {},
-        "conjunction": WHERE,
-    }
-    sums = rows.agg(*[F.sum(F.when(predicate(rows, w), 1).otherwise(0)).alias(n) for n, w in tests.items()])
-    return sums.unpivot([], list(tests), "filter", "passed")
+    sums = rows.agg(*[F.sum(F.when(predicate(rows, w), 1).otherwise(0)).alias(n) for n, w in FILTERS.items()])
+    return sums.unpivot([], list(FILTERS), "filter", "passed")
+
+
+def filter_sql(spark, sf):
+    """The same filters rendered as SQL text."""
+    rows = chunks(spark, sf)
+    sums = rows.agg(*[F.sum(F.when(F.expr(as_sql(rows, w)), 1).otherwise(0)).alias(n) for n, w in FILTERS.items()])
+    return sums.unpivot([], list(FILTERS), "filter", "passed")
 
 
 # ---- evaluation
@@ -188,7 +259,7 @@ def _long(spark, sf) -> DataFrame:
 
 
 def bootstrap_native(spark, sf):
-    s = stats.bootstrap_native(_long(spark, sf).where("name IN ('recall', 'mrr')"), 40)
+    s = stats.bootstrap_native(_long(spark, sf))
     return s.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")], "n")
 
 
@@ -198,8 +269,12 @@ def bootstrap_exact(spark, sf):
 
 def rubric_dimensions(spark, sf):
     """Rubric over the repeatable intervals."""
-    s = stats.bootstrap_native(_long(spark, sf).where("name IN ('recall', 'mrr')"), 40)
-    return stats.rubric(s).select("dimension", "status", "threshold", "weight")
+    return stats.rubric(stats.bootstrap_native(_long(spark, sf))).select("dimension", "status", "threshold", "weight")
+
+
+def rubric_decision(spark, sf):
+    d = stats.decision(stats.rubric(stats.bootstrap_native(_long(spark, sf))))
+    return d.select("overall_pass", F.round("weighted_score", 6).alias("weighted_score"), "min_n_ok")
 
 
 def rubric_exact(spark, sf):
@@ -207,15 +282,25 @@ def rubric_exact(spark, sf):
     return stats.rubric(stats.bootstrap(_long(spark, sf))).select("dimension", "status", "threshold", "weight")
 
 
-def compare_deltas(spark, sf):
-    """BM25 against TF-IDF: reciprocal ranks at 10, paired by question."""
+def _legs(spark, sf) -> list[DataFrame]:
+    """Reciprocal ranks at 10 of TF-IDF and of BM25."""
     c, q = corpus(spark, sf), asked(spark, sf)
     cases = qrels(spark, sf).join(q.select("qid"), "qid", "left_semi")
     legs = []
     for leg in (retrieve.keyword, retrieve.bm25):
         hits = leg(q, c, K).join(c.chunks.select("id", "content"), "id")
         legs.append(metrics.long_form(metrics.per_query(cases, hits, K), ["mrr"]))
-    return stats.paired_deltas(*legs).select("qid", F.round("va", 6).alias("keyword"), F.round("vb", 6).alias("bm25"), F.round("value", 6).alias("delta"))
+    return legs
+
+
+def compare_interval(spark, sf):
+    """BM25 against TF-IDF with the repeatable interval of the mean difference."""
+    return stats.compare(*_legs(spark, sf), native=True)
+
+
+def compare_deltas(spark, sf):
+    """BM25 against TF-IDF, paired by question."""
+    return stats.paired_deltas(*_legs(spark, sf)).select("qid", F.round("va", 6).alias("keyword"), F.round("vb", 6).alias("bm25"), F.round("value", 6).alias("delta"))
 
 
 # ---- context and answers
@@ -237,6 +322,18 @@ def context_dedupe(spark, sf):
     return augment.one_of_each(results(spark, sf)).select("qid", "position", "rank", "id")
 
 
+def results_markdown(spark, sf):
+    return augment.markdown(results(spark, sf).where("score IS NOT NULL"))
+
+
+def turns_in_context(spark, sf):
+    """Conversations of two questions, the last of them put into the context of its results."""
+    q = qrels(spark, sf).where("query IS NOT NULL")
+    turns = q.select(F.col("qid").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role"), t.alias("text")) for i, (r, t) in enumerate([("user", F.lit("Hello?")), ("assistant", F.lit("Yes?")), ("user", F.col("query"))])])).alias("t"))
+    context = augment.cited_context(q, results(spark, sf), 0.2).withColumnRenamed("qid", "conv_id")
+    return augment.on_the_fly(turns.select("conv_id", "t.*"), context).select("conv_id", "turn", "role", "text")
+
+
 def citation_precision(spark, sf):
     return answers(spark, sf).select("qid", F.round(answer_scores.citation_precision(F.col("answer"), F.col("retrieved.source")), 6).alias("value"))
 
@@ -246,6 +343,29 @@ def answer_correctness(spark, sf):
     return rows.select("qid", F.round(answer_scores.answer_correctness(F.col("answer"), F.col("expected")), 6).alias("overlap"), F.round(answer_scores.correctness_score(F.col("answer"), F.col("expected")), 6).alias("score"))
 
 
+def scorer_citation(spark, sf):
+    return scorers.ScorerRegistry().create("citation_precision", k=2)(answers(spark, sf), None)
+
+
+def scorer_interval(spark, sf):
+    """The lower end of the exact interval of a scorer's values."""
+    s = scorers.ScorerRegistry()
+    return s.create("bootstrap_ci", inner=s.create("retrieval_mrr", k=5))(qrels(spark, sf), results(spark, sf)).select("value")
+
+
+def judged_answers(spark, sf):
+    """Correctness by a judge that has an opinion on cited answers only."""
+    judge = models.PatternChat({r"Answer:\n(?s:.)*\[1\]": "CORRECTNESS: 0.25"}, "no idea")
+    return answers(spark, sf).select("qid", F.round(answer_scores.judged_score(F.col("answer"), F.col("expected"), judge), 6).alias("value"))
+
+
+def faithful_answers(spark, sf):
+    """Faithfulness by claims, under a judge that finds the second of two claims only where a passage is cited."""
+    chat = models.PatternChat({"separate factual claims": '["a", "b"]', r"For each claim(?s:.)*(?i:battery)": '["SUPPORTED", "SUPPORTED"]', "For each claim": '["SUPPORTED", "unsupported"]'})
+    rows = answers(spark, sf).select("qid", "answer", F.array_join("retrieved.content", "\n").alias("context"))
+    return answer_scores.faithfulness(rows, chat)
+
+
 def abstention(spark, sf):
     return answers(spark, sf).select("qid", answer_scores.abstention(F.col("answer"), F.col("out_of_scope")).alias("value"))
 
@@ -281,7 +401,86 @@ def fixed_chunks(spark, sf):
 
 
 def semantic_chunks(spark, sf):
-    return chunkers.semantic(documents(spark, sf), models.BagEmbedder(), threshold=0.3)
+    return chunkers.semantic(documents(spark, sf), models.BagEmbedder())
+
+
+def _files(spark, sf, path, content) -> DataFrame:
+    rows = documents(spark, sf).where("content IS NOT NULL")
+    return rows.select(path.alias("path"), content.cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+
+
+def parsed_text(spark, sf):
+    """Documents as files without an ending that tells their format, read under a size limit."""
+    files = _files(spark, sf, F.concat(F.lit("/kb/"), F.col("doc_id"), F.lit(".md")), F.col("content"))
+    return parsers.parse_files(files, max_bytes=3000).select("doc_id", "title", "content", "source_format")
+
+
+def parsed_html(spark, sf):
+    """The lines of each document as paragraphs of a page, and their text from the markup."""
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.regexp_replace(x, f"^{text.WHITE}+|{text.WHITE}+$", "")), lambda x: x != "")
+    safe = F.transform(lines, lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>")))
+    page = F.concat(F.lit("<!DOCTYPE html><html><body>"), F.array_join(safe, "\n"), F.lit("</body></html>"))
+    rows = documents(spark, sf).where("content IS NOT NULL").where(F.size(lines) > 0)
+    files = rows.select(F.concat(F.lit("/kb/"), F.col("doc_id")).alias("path"), page.cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return parsers.parse_files(files, max_bytes=1 << 30).select("doc_id", "content", "source_format")
+
+
+def detected_formats(spark, sf):
+    """Formats by first bytes of files whose names tell nothing."""
+    head = F.when(F.col("ord") % 4 == 0, "%PDF-1.7\n").when(F.col("ord") % 4 == 1, "  <!DOCTYPE html>").when(F.col("ord") % 4 == 2, "\n<HTML lang=en>").otherwise("")
+    rows = documents(spark, sf).where("content IS NOT NULL")
+    return rows.select("doc_id", text.detect_format(F.col("doc_id"), F.concat(head, F.col("content")).cast("binary")).alias("format"))
+
+
+def text_tests(spark, sf):
+    """Headings among the lines of a document, and whether it would pass for a binary file with a null byte put in."""
+    rows = documents(spark, sf).where("content IS NOT NULL")
+    lines = F.filter(F.split("content", "\n"), lambda x: text.is_heading(x))
+    marked = F.when(F.col("ord") % 2 == 0, F.concat(F.col("content"), F.lit("\x00"))).otherwise(F.col("content"))
+    return rows.select("doc_id", F.size(lines).alias("headings"), text.is_binary(marked.cast("binary")).alias("binary"))
+
+
+def needle_lists(spark, sf):
+    """Needles through JSON and back; every third is no list."""
+    raw = F.when(F.col("qid") % 3 == 0, F.lit("none")).otherwise(F.to_json(F.coalesce("gold_needles", F.array().cast("array<string>"))))
+    return qrels(spark, sf).select("qid", F.size(text.json_list(raw)).alias("n"))
+
+
+def _passages(spark, sf) -> DataFrame:
+    rows = results(spark, sf).where("content IS NOT NULL").select("qid", F.col("content").alias("text"), (F.col("rank") <= 2).alias("selected"), F.col("rank").alias("pos"))
+    return rows.join(qrels(spark, sf).select("qid", "query"), "qid")
+
+
+def passage_questions(spark, sf):
+    """Golden questions that the passage corpus builder makes of retrieved passages."""
+    return datasets.passage_corpus(_passages(spark, sf))[1].select("qid", "gold_doc", F.col("gold_needles")[0].alias("needle"))
+
+
+def passage_ids(spark, sf):
+    return datasets.passage_corpus(_passages(spark, sf))[0].select("doc_id")
+
+
+def answer_corpus_ids(spark, sf):
+    """The corpus of drawn questions, filled up with documents."""
+    rows = answers(spark, sf).where("answer IS NOT NULL AND size(retrieved) > 0").select("qid", F.lit("").alias("query"), F.col("retrieved")[0]["content"].alias("context"), "answer").where("context IS NOT NULL")
+    return datasets.answer_corpus(rows, table(spark, sf, "documents").select("text"), 40, density=300)[0].select("doc_id")
+
+
+def csv_questions(spark, sf):
+    """Golden questions written as CSV and read again."""
+    path = f"{shared_dir(spark)}/quarry-questions-{uuid.uuid4().hex}"
+    rows = qrels(spark, sf).where("query IS NOT NULL")
+    rows.select("query", F.array_join(F.coalesce("gold_needles", F.array().cast("array<string>")), "|").alias("needles")).write.option("header", True).option("escape", '"').csv(path)
+    return datasets.csv_qrels(spark, path).select("query", F.array_join("gold_needles", "|").alias("needles"), "out_of_scope")
+
+
+def cached_bags(spark, sf):
+    """Vectors of chunks through the embedding cache, in two steps."""
+    folder = f"{shared_dir(spark)}/quarry-vectors-{uuid.uuid4().hex}"
+    rows = corpus(spark, sf).chunks.select("id", "content")
+    models.cached_vectors(rows.where("content LIKE '%a%'"), models.BagEmbedder(), folder, "bag")
+    done = models.with_vectors(rows, models.BagEmbedder(), cache=folder, model="bag")
+    return done.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("bag"))
 
 
 def source_formats(spark, sf):
@@ -306,12 +505,13 @@ def synthetic_eval(spark, sf):
 
 
 QUERIES = (
-    tokenize_tf, doc_freq, corpus_stats, bm25_topk, bm25_stopwords_topk, bm25_synonyms_topk, bm25_filtered_topk, keyword_topk,
-    keyword_filtered_topk, cosine_topk, cosine_filtered_topk, vectorstore_topk, hybrid_rrf_topk, semantic_fallback_topk,
-    rerank_overlap_topk, rerank_threshold_topk, rule_rewrite, filter_predicates, metrics_per_query, metric_means, scorer_recall,
-    bootstrap_native, bootstrap_exact, rubric_dimensions, rubric_exact, compare_deltas, cited_context, evaluation_context, augmented_message,
-    context_dedupe, citation_precision, answer_correctness, abstention, answer_scalars, score_scalars, sentence_chunks,
-    paragraph_chunks, fixed_chunks, semantic_chunks, source_formats, passages, embedding_bags, synthetic_eval,
+    tokenize_tf, doc_freq, corpus_stats, index_norms, stemmed_df, bm25_topk, bm25_stopwords_topk, bm25_synonyms_topk, bm25_filtered_topk, keyword_topk,
+    keyword_filtered_topk, cosine_topk, cosine_filtered_topk, chunk_cosine_topk, vectorstore_topk, vectorstore_filtered_topk, vectorstore_count, hybrid_rrf_topk, semantic_fallback_topk,
+    rerank_overlap_topk, rerank_threshold_topk, rerank_soft_topk, rewritten_topk, chat_rewrite, rule_rewrite, filter_predicates, filter_sql, metrics_per_query, metric_means, scorer_recall,
+    bootstrap_native, bootstrap_exact, rubric_dimensions, rubric_exact, rubric_decision, compare_deltas, compare_interval, cited_context, evaluation_context, augmented_message,
+    results_markdown, turns_in_context, context_dedupe, citation_precision, scorer_citation, scorer_interval, judged_answers, faithful_answers, answer_correctness, abstention, answer_scalars, score_scalars, sentence_chunks,
+    paragraph_chunks, fixed_chunks, semantic_chunks, source_formats, parsed_text, parsed_html, detected_formats, text_tests, needle_lists, passage_questions, passage_ids,
+    answer_corpus_ids, csv_questions, cached_bags, passages, embedding_bags, synthetic_eval,
 )
 
 

@@ -571,9 +571,28 @@ def test_streaming_ingest(spark, tmp_path):
 # ---- registered queries
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
-def test_queries_run(spark, data, name):
-    assert catalog.queries()[name](spark, data).count() >= 0
+SQL = catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_give_the_rows_of_their_sql(same_as_sql, name):
+    same_as_sql(catalog.queries()[name], SQL[name])
+
+
+def test_queries_without_sql(spark, data):
+    known = catalog.queries()
+    assert {n for n in known if n not in SQL} == {"bootstrap_exact", "rubric_exact", "scorer_interval", "semantic_chunks"}
+    means = {r.name: (r.mean, r.n) for r in known["metric_means"](spark, data).collect()}
+    exact = {r.name: r for r in known["bootstrap_exact"](spark, data).collect()}
+    assert {n: (r.mean, r.n) for n, r in exact.items()} == means and all(r.ci_low <= r.mean <= r.ci_high for r in exact.values())
+    low = known["scorer_interval"](spark, data).collect()[0].value
+    per = [r.value for r in ScorerRegistry().create("retrieval_mrr", k=5)(catalog.qrels(spark, data), catalog.results(spark, data)).orderBy("qid").collect()]
+    assert low == round(stats.interval(per, 1000)[1], 3)
+    texts = {r.doc_id: r.content for r in catalog.documents(spark, data).collect() if (r.content or "").strip()}
+    pieces: dict = {}
+    for r in known["semantic_chunks"](spark, data).orderBy("chunk_index").collect():
+        pieces.setdefault(r.doc_id, []).append(r.content)
+    assert pieces == {d: chunkers.semantic_units(t, models.BagEmbedder()) for d, t in texts.items()}
 
 
 def test_entry(spark):
