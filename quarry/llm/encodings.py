@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.runtime import cut, spread
-from quarry.llm import ciphers
+from quarry.llm import ciphers, decipher
 
 LEAST_GAIN = 2.5
 #: Nats against any swap where nothing is known of a source, and how far a source's other documents may lower them.
 DOUBT = 5.5
 TRUST = 0.7
+#: Marks pairs with a letter that no sample has; where a single source has it, it may be its own cipher.
+STRANGE = "?"
 #: Share of a source's different lines with high characters that must surely suffer a swap for all lines that it betters in the
 #: source to be left out of the counts.
 MOST_SUSPICIOUS = 0.02
@@ -48,9 +50,10 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
     def letters(batches):
         n: Counter = Counter()
         for b in batches:
-            for x in b.column(0).to_pylist():
-                if x:
-                    n.update(x.lower())
+            points = np.frombuffer("".join(x for x in b.column(0).to_pylist() if x).encode("utf-32-le", "surrogatepass"), "<u4")
+            times = np.bincount(points)
+            for p in np.flatnonzero(times).tolist():
+                n.update({c: int(times[p]) for c in chr(p).lower()})
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["c", "n"])
 
     seen = rows.select("text").mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ciphers.ALPHABET).collect()
@@ -65,122 +68,175 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
             np.add.at(counts[languages.index(lang)], (c[:-1], c[1:]), 1)
     first = spark.sparkContext.broadcast(ciphers.LetterPairs(alphabet, languages, counts))
 
+    # Pairs with letters that no sample has count if several sources have them.
     # Pairs of suspicious lines are kept apart by source and swap until it is known how many lines of the source
     # suffer it: foreign names and quoted signs turn up everywhere, a swap fills its source.
     def pairs(batches):
-        model, zero, kept = first.value, np.zeros(counts.shape, np.int32), {}
-        lines, seen = Counter(), set()
+        model, plain, kept, lines = first.value, np.zeros(counts.shape, np.int64), {}, Counter()
         for b in batches:
+            clean, owners, seen = [], [], set()
             for source, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for line in set((x or "").split("\n")):
-                    swap = None
-                    if not line.isascii():
-                        if ciphers.disguised(line):
-                            continue
+                    if line.isascii():
+                        clean.append(line)
+                        owners.append(source)
+                    elif not ciphers.disguised(line):
                         swap, sure = ciphers.suspicion(model, line, LEAST_GAIN)
-                        if (key := hash((source, line))) not in seen:
-                            seen.add(key)
+                        if (source, line) not in seen:
+                            seen.add((source, line))
                             lines[source, swap if sure else None] += 1
-                    if line:
-                        c = model.encode(line)
-                        lang = int(model.logp[c[:-1], c[1:]].sum(0).argmax())
-                        cells = np.ravel_multi_index((lang, c[:-1], c[1:]), counts.shape)
                         if swap is None:
-                            np.add.at(zero.ravel(), cells, 1)
+                            clean.append(line)
+                            owners.append(source)
                         else:
-                            kept.setdefault((source, swap), Counter()).update(cells.tolist())
-        rows = [(None, None, int(k), int(zero.ravel()[k])) for k in np.flatnonzero(zero)]
-        rows += [(s, w, -1, n) for (s, w), n in lines.items()]
+                            c = model.encode(line).astype(np.int64)
+                            lang = int(model.logp[c[:-1], c[1:]].sum(0).argmax())
+                            own = np.ravel_multi_index((lang, c[:-1], c[1:]), counts.shape)
+                            kept.setdefault((source, swap), Counter()).update(own.tolist())
+            for part in ciphers.stretches(list(zip(owners, clean)), text=lambda x: x[1]):
+                for i, cell, letter in zip(*(v.tolist() for v in model.count([x for _, x in part], plain))):
+                    kept.setdefault((part[i][0], f"{STRANGE}{letter}"), Counter())[cell] += 1
+        flat = plain.ravel()
+        at = np.flatnonzero(flat)
+        rows = [(s, w, -1, n) for (s, w), n in lines.items()]
         rows += [(s, w, k, n) for (s, w), cells in kept.items() for k, n in cells.items()]
-        columns = zip(*rows) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["source", "swap", "cell", "n"])
+        source, swap, cell, n = map(list, zip(*rows)) if rows else ([], [], [], [])
+        nothing = [None] * len(at)
+        columns = [pa.array(source + nothing, pa.string()), pa.array(swap + nothing, pa.string()), pa.array(np.concatenate([np.array(cell, np.int64), at])), pa.array(np.concatenate([np.array(n, np.int64), flat[at]]))]
+        yield pa.RecordBatch.from_arrays(columns, ["source", "swap", "cell", "n"])
 
     found = cut(rows.mapInArrow(pairs, "source string, swap string, cell long, n long").groupBy("source", "swap", "cell").agg(F.sum("n").alias("n")))
     lines = found.where("cell < 0").withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
     bad = lines.where((F.col("share") >= MOST_SUSPICIOUS) & F.col("swap").isNotNull()).select("source", "swap")
-    for r in found.where("cell >= 0").join(bad, ["source", "swap"], "left_anti").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts.ravel()[r.cell] += r.n
+    letters = found.where(F.startswith("swap", F.lit(STRANGE))).withColumn("source", F.coalesce("source", F.lit("")))
+    lone = letters.groupBy("swap").agg(F.count_distinct("source").alias("sources"), F.min("source").alias("source")).where("sources = 1").select("source", "swap")
+    kept = found.where("cell >= 0").join(bad.unionByName(lone), ["source", "swap"], "left_anti").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    np.add.at(counts.reshape(-1), kept.column("cell").to_numpy(), kept.column("n").to_numpy())
     return ciphers.LetterPairs(alphabet, languages, counts)
 
 
+#: What a document's row may tell: the gain of a swap, damaged characters, or a run of high characters in its context.
+EVIDENCE = "id string, source string, swap string, gain double, lang int, before string, run string, after string, n long"
+
+
 def evidence(docs: DataFrame, id_col: str, text_col: str, source_col: str, model: ciphers.LetterPairs) -> DataFrame:
-    """(id, source, swap, gain): for each document the summed gains of each swap over its lines, and a row with a
-    null swap if it holds damaged characters."""
+    """EVIDENCE: for each document the summed gains of each swap over its lines; a row with neither swap nor run if
+    it holds damaged characters; and how often each run of high characters stands in its doubtful lines."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = shared.value
         for b in batches:
-            at, swap, gain = [], [], []
+            out: list[tuple] = []
+            lines = []
             for i, x in enumerate(b.column(2).to_pylist()):
-                if not x:
-                    continue
-                sums: dict[str, float] = {}
-                for line in x.split("\n"):
-                    for s, g in ciphers.best_reading(shared.value, line, LEAST_GAIN):
-                        sums[s] = sums.get(s, 0.0) + g
-                for s, g in sorted(sums.items(), key=lambda z: -z[1]):
-                    at.append(i), swap.append(s), gain.append(g)
-                if ciphers.damaged(x):
-                    at.append(i), swap.append(None), gain.append(0.0)
+                if x:
+                    lines += [(i, line) for line in x.split("\n") if not line.isascii()]
+                    if ciphers.damaged(x):
+                        out.append((i, None, 0.0, None, None, None, None, None))
+            sums: dict[tuple, float] = {}
+            runs: Counter = Counter()
+            for part in ciphers.stretches(lines, text=lambda x: x[1]):
+                doubtful, best = model.doubtful([line for _, line in part])
+                for k in np.flatnonzero(doubtful).tolist():
+                    i, line = part[k]
+                    for s, g in ciphers.best_reading(model, line, LEAST_GAIN):
+                        sums[i, s] = sums.get((i, s), 0.0) + g
+                    padded = f" {line} "
+                    runs.update((i, int(best[k]), padded[m.start() - 1], m[0], padded[m.end()]) for m in ciphers.HIGH.finditer(padded))
+            out += [(i, s, g, None, None, None, None, None) for (i, s), g in sums.items()]
+            out += [(i, None, None, *context, n) for (i, *context), n in runs.items()]
+            at, swap, gain, lang, before, text, after, n = map(list, zip(*out)) if out else ([] for _ in range(8))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(swap, pa.string()), pa.array(gain, pa.float64())], ["id", "source", "swap", "gain"])
+            kinds = (pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
+            columns = [b.column(0).take(take), b.column(1).take(take), *(pa.array(v, t) for v, t in zip((swap, gain, lang, before, text, after, n), kinds))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "source", "swap", "gain", "lang", "before", "run", "after", "n"])
 
     once = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), origin(source_col).alias("source"), F.col(text_col).alias("text"))
-    return spread(once).mapInArrow(run, "id string, source string, swap string, gain double").distinct()
+    return spread(once).mapInArrow(run, EVIDENCE).distinct()
 
 
-def settle(found: DataFrame, rounds: int = 2) -> DataFrame:
-    """(id, swap, gain, damaged): the affected documents and the likeliest swap of each, null if none is."""
-    swaps = found.where("swap IS NOT NULL").withColumn("share", F.lit(0.0))
-    for _ in range(rounds):
-        weight = swaps.withColumn("x", F.exp(F.least(F.col("gain"), F.lit(60.0)) + F.col("share") - DOUBT))
+def settle(swaps: DataFrame, most_rounds: int = 8, settled: float = 0.5) -> DataFrame:
+    """(id, source, swap, gain, share, w): the weight of each swap for each document, by expectation-maximisation
+    over the sources' shares of swaps until no share moves by as much as `settled` documents."""
+    now, before = swaps.select("id", "source", "swap", "gain", F.lit(0.0).alias("share")), None
+    for _ in range(most_rounds):
+        x = F.exp(F.least(F.col("gain"), F.lit(60.0)) + F.col("share") - DOUBT)
+        weight = now.withColumn("x", x)
         total = weight.groupBy("id").agg(F.sum("x").alias("total"))
-        weight = weight.join(total, "id").withColumn("w", F.col("x") / (1 + F.col("total")))
+        weight = weight.join(total, "id").select("id", "source", "swap", "gain", (F.col("x") / (1 + F.col("total"))).alias("w"))
         shares = weight.groupBy("source", "swap").agg(F.sum("w").alias("docs"))
-        swaps = weight.select("id", "source", "swap", "gain", "w").join(shares, ["source", "swap"])
-        swaps = swaps.withColumn("share", F.least(F.lit(TRUST), F.log1p(F.greatest(F.col("docs") - F.col("w"), F.lit(0.0))))).select("id", "source", "swap", "gain", "share")
+        share = F.least(F.lit(TRUST), F.log1p(F.greatest(F.col("docs") - F.col("w"), F.lit(0.0))))
+        now = cut(weight.join(shares, ["source", "swap"]).select("id", "source", "swap", "gain", share.alias("share"), "w"))
+        moved = now.agg(F.sum("w"), F.sum("share")).collect()[0]
+        if before is not None and all(abs((a or 0.0) - (b or 0.0)) < settled for a, b in zip(moved, before)):
+            break
+        before = moved
+    return now
+
+
+def verdicts(settled: DataFrame, hurt: DataFrame) -> DataFrame:
+    """(id, source, swap, swaps, gain, damaged): the affected documents, the likeliest swap of each (null if none
+    is) and all that pass, the likeliest first."""
     # Equal readings: the commoner page, as listed.
-    page = F.array_position(F.array(*map(F.lit, ciphers.READ_AS)), F.split("swap", ">")[0])
-    best = swaps.groupBy("id").agg(F.max_by(F.struct("swap", "gain", "share"), F.struct(F.round(F.col("gain") + F.col("share"), 3), -page, "swap")).alias("b"))
-    best = best.select("id", "b.*").where(F.col("gain") + F.col("share") >= DOUBT)
-    hurt = found.where("swap IS NULL").select("id", F.lit(True).alias("damaged")).distinct()
-    return best.select("id", "swap", "gain").join(hurt, "id", "full_outer").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
+    page = F.coalesce(F.array_position(F.array(*map(F.lit, ciphers.READ_AS)), F.split("swap", ">")[0]), F.lit(0))
+    order = F.struct((-F.round(F.col("gain") + F.col("share"), 3)).alias("a"), page.alias("b"), F.col("swap"), F.col("gain"), F.col("source"))
+    best = settled.where(F.col("gain") + F.col("share") >= DOUBT).groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    best = best.select("id", F.col("all")[0]["source"].alias("source"), F.col("all")[0]["swap"].alias("swap"), F.col("all")["swap"].alias("swaps"), F.col("all")[0]["gain"].alias("gain"))
+    return best.join(hurt.select("id", F.lit(True).alias("damaged")).distinct(), "id", "full_outer").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
 
 
-def wrong_readings(docs: DataFrame, id_col: str, text_col: str, source_col: str, model: ciphers.LetterPairs) -> DataFrame:
-    """(id, swap, gain, damaged), one row for each document of which some part was read wrongly.
+def wrong_readings(docs: DataFrame, id_col: str, text_col: str, source_col: str, model: ciphers.LetterPairs) -> tuple[DataFrame, DataFrame]:
+    """(id, source, swap, swaps, gain, damaged), one row for each document of which some part was read wrongly, and
+    the tables(source, swap, letters) by which the sources' swaps are undone.
 
+    First the gains of the code pages' own tables settle which swaps a source's documents suffer. Under these, and
+    for documents that no page explains, the sources' tables are learnt; the gains under them decide.
     damaged: characters are lost for good (replacement characters, question marks in letters' places) or left as
     controls. An id delivered twice counts once; null and empty texts and null ids give no rows.
     """
-    return settle(cut(evidence(docs, id_col, text_col, source_col, model)))
+    found = cut(evidence(docs, id_col, text_col, source_col, model))
+    swaps, runs = found.where("swap IS NOT NULL"), found.where("run IS NOT NULL")
+    first = settle(swaps)
+    tables, gains = decipher.learn(first, runs.select("id", "source", "lang", "before", "run", "after", "n"), model)
+    better = swaps.select("id", "source", "swap", "gain").unionByName(gains).groupBy("id", "source", "swap").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= LEAST_GAIN)
+    return verdicts(settle(better), found.where("swap IS NULL AND run IS NULL")), tables
 
 
-def restore_line(model: ciphers.LetterPairs, line: str, swap: str, steps: int = 3) -> str:
-    """The line under the swap as often as that makes it likelier (a text may have been read wrongly twice)."""
+def restore_line(model: ciphers.LetterPairs, line: str, tables: list[tuple[str, dict[str, str]]], steps: int = 3) -> str:
+    """The line under the swap that makes it likeliest, as often as one does (a text may have been read wrongly
+    twice). Tables are (swap, letters); multi-byte swaps are decoded where letters have nothing to say."""
     for _ in range(steps):
         if line.isascii():
             break
-        runs = ciphers.HIGH.findall(line)
-        table = ciphers.translation(swap, runs)
-        new = line.translate(table) if table is not None else ciphers.line_reading(line, swap)
-        if new == line or model.score(new).max() <= model.score(line).max():
+        best, top = line, model.score(line).max()
+        for swap, letters in tables:
+            table = ciphers.translation(swap, ciphers.HIGH.findall(line), letters)
+            new = line.translate(table) if table is not None else ciphers.line_reading(line, swap)
+            if new != line and (score := model.score(new).max()) > top:
+                best, top = new, score
+        if best == line:
             break
-        line = new
+        line = best
     return line
 
 
-def restored(docs: DataFrame, id_col: str, text_col: str, wrong: DataFrame, model: ciphers.LetterPairs) -> DataFrame:
-    """(id, swap, restorable, content) of the affected documents, each once; restorable: nothing is lost."""
+def restored(docs: DataFrame, id_col: str, text_col: str, wrong: DataFrame, tables: DataFrame, model: ciphers.LetterPairs) -> DataFrame:
+    """(id, swap, restorable, content) of the affected documents, each once; each line is read under the best of
+    the document's swaps; restorable: nothing is lost."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     once = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    rows = once.join(wrong.select("id", "swap"), "id").dropDuplicates(["id"]).select("id", "swap", "text")
+    per = wrong.select("id", "source", F.explode("swaps").alias("s")).join(tables.withColumnRenamed("swap", "s"), ["source", "s"], "left")
+    known = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("s", F.coalesce("letters", F.create_map().cast("map<string,string>"))))).alias("letters"))
+    rows = once.join(wrong.select("id", "swap", "swaps"), "id").join(known, "id", "left").dropDuplicates(["id"]).select("id", "swap", "text", "swaps", "letters")
 
     def run(batches):
         for b in batches:
             texts, ok = [], []
-            for swap, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                y = "\n".join(restore_line(shared.value, line, swap) for line in x.split("\n")) if swap else x
+            for x, swaps, letters in zip(*(b.column(c).to_pylist() for c in ("text", "swaps", "letters"))):
+                learnt = {s: dict(pairs) for s, pairs in letters or []}
+                own = [(s, learnt.get(s, {})) for s in swaps or []]
+                y = "\n".join(restore_line(shared.value, line, own) for line in x.split("\n")) if own else x
                 texts.append(y)
                 ok.append(not ciphers.damaged(y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(texts, pa.string())], ["id", "swap", "restorable", "content"])

@@ -16,7 +16,7 @@ TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 def _wrong_readings(spark: SparkSession, folder: str):
     docs = table(spark, folder, "kb_documents")
     model = encodings.fit_letter_pairs(docs, "content", table(spark, folder, "lang_samples"))
-    return docs, model, encodings.wrong_readings(docs, "doc_id", "content", "source", model)
+    return docs, model, *encodings.wrong_readings(docs, "doc_id", "content", "source", model)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,8 +24,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
-    docs, model, wrong = _wrong_readings(spark, folder)
-    return encodings.restored(docs, "doc_id", "content", wrong, model).withColumnRenamed("id", "doc_id")
+    docs, model, wrong, tables = _wrong_readings(spark, folder)
+    return encodings.restored(docs, "doc_id", "content", wrong, tables, model).withColumnRenamed("id", "doc_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quarry.llm import boilerplate, bpe, ciphers, encodings, langmodel, language, leakage, nearduplicates, neighbours, pagelines, quantiser, queries, splitting, tokenize
+from quarry.llm import boilerplate, bpe, ciphers, decipher, encodings, langmodel, language, leakage, nearduplicates, neighbours, pagelines, quantiser, queries, splitting, tokenize
 
 VOCABULARY = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -368,6 +369,35 @@ def test_packing_loses_nothing(values):
 # ---- p1
 
 
+def test_a_table_that_no_code_page_has_is_learnt(spark, data):
+    """A source's own substitution of its high letters is found, and undone, by its table alone."""
+    samples = spark.read.parquet(f"{data}/lang_samples.parquet")
+    own = dict(zip("äöüßÄÖÜ", "ħŧŋĸĦŦŊ"))
+    texts = [r.text for r in samples.collect() if r.lang == "de"]
+    meant = {f"odd{i}": "\n".join(texts[i * 3 : i * 3 + 3]) for i in range(8)}
+    rows = [(f"ok{i}", r.text, f"https://site{i % 5}.example/x") for i, r in enumerate(samples.collect())]
+    rows += [(i, t.translate(str.maketrans(own)), "https://odd.example/x") for i, t in meant.items()]
+    df = spark.createDataFrame(rows, "doc_id string, content string, source string")
+    model = encodings.fit_letter_pairs(df, "content", samples)
+    wrong, tables = encodings.wrong_readings(df, "doc_id", "content", "source", model)
+    found = {r.id: r.swap for r in wrong.collect()}
+    assert {i for i, s in found.items() if s == "learnt"} == set(meant)
+    whole = {r.id: r.content for r in encodings.restored(df, "doc_id", "content", wrong, tables, model).collect()}
+    right = sum(a == b for i, t in meant.items() for a, b in zip(whole[i], t) if b > "\x7f") / sum(b > "\x7f" for t in meant.values() for b in t)
+    assert right >= 0.95
+
+
+def test_expectation_prefers_the_letters_the_language_has(spark, data):
+    samples = spark.read.parquet(f"{data}/lang_samples.parquet")
+    model = encodings.fit_letter_pairs(samples.withColumn("content", F.col("text")), "content", samples)
+    lang = model.languages.index("de")
+    channel = decipher.Channel(model, "learnt", [])
+    (symbol, letters, p), = channel.expect(lang, "f", "ŋ", "r")[0]
+    assert symbol == "ŋ" and letters[int(p.argmax())] in "üö" and abs(p.sum() - 1) < 1e-9
+    prior = decipher.Channel(model, "cp1252>mac-roman", []).prior("Š", lang)
+    assert max(prior, key=prior.get) == ciphers.readings("Š")["cp1252>mac-roman"].lower() and abs(sum(prior.values()) - 1) < 1e-9
+
+
 def test_wrong_readings(spark, data):
     samples = spark.read.parquet(f"{data}/lang_samples.parquet")
     clean = [r for r in samples.collect()]
@@ -390,12 +420,12 @@ def test_wrong_readings(spark, data):
     rows += [("lost", "Die B�cher und ?ber", None), ("null", None, None), ("empty", "", "x"), ("utf8", hurt["utf8"][1], "https://utf8.example/x")]
     df = spark.createDataFrame(rows, "doc_id string, content string, source string").selectExpr("*", "1 AS id", "2 AS swap")
     model = encodings.fit_letter_pairs(df, "content", samples)
-    wrong = encodings.wrong_readings(df, "doc_id", "content", "source", model)
+    wrong, tables = encodings.wrong_readings(df, "doc_id", "content", "source", model)
     found = {r.id: r for r in wrong.collect()}
     assert {"lost", "utf8", "koi", "polish"} <= set(found) and len([i for i in found if i.startswith("ok")]) <= 3
-    whole = {r.id: r for r in encodings.restored(df, "doc_id", "content", wrong, model).collect()}
+    whole = {r.id: r for r in encodings.restored(df, "doc_id", "content", wrong, tables, model).collect()}
     assert whole["utf8"].content == hurt["utf8"][0] and whole["koi"].content == hurt["koi"][0] and not whole["lost"].restorable
-    assert encodings.wrong_readings(df.limit(0), "doc_id", "content", "source", model).count() == 0
+    assert encodings.wrong_readings(df.limit(0), "doc_id", "content", "source", model)[0].count() == 0
 
 
 def test_a_hot_source_of_one_swap_does_not_pass_for_language(spark, data):
