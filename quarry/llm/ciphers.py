@@ -131,7 +131,7 @@ class LetterPairs:
         self.alphabet, self.languages, self.counts = alphabet, languages, counts
         self.index = {c: k + OTHER for k, c in enumerate(alphabet)}
         #: Letters of small alphabets that the counts of no language hold.
-        small = np.array([False] * OTHER + [c > "\x7f" and other_class(c) in (1, 2, 4) for c in alphabet])
+        small = np.array([False] * OTHER + [c > "\x7f" and other_class(c) in (1, 2) for c in alphabet])
         self.strange = small & (counts.sum((0, 1)) == 0)
         self._high: dict[int, list[str]] = {}
         self._code: dict[str, int] = {}

@@ -440,7 +440,7 @@ def test_a_hot_source_of_one_swap_does_not_pass_for_language(spark, data):
             rows.append((f"hot{k}", body.encode(meant).decode(read), f"https://hot.example/{k}"))
         df = spark.createDataFrame(rows, "doc_id string, content string, source string")
         model = encodings.fit_letter_pairs(df, "content", samples)
-        found = {r.id for r in encodings.wrong_readings(df, "doc_id", "content", "source", model).collect()}
+        found = {r.id for r in encodings.wrong_readings(df, "doc_id", "content", "source", model)[0].collect()}
         hot = {i for i, x, _ in rows if i.startswith("hot") and not x.isascii()}
         assert len(hot & found) >= 0.95 * len(hot) and len([i for i in found if i.startswith("ok")]) <= 5, (lang, len(hot & found), len(hot))
 
@@ -453,7 +453,7 @@ def test_mac_roman_among_clean_documents(spark, data):
     keep = "".join(c for c in text if c.encode("cp1252", "ignore"))
     rows = [(f"ok{i}", r.text, "file:///a") for i, r in enumerate(clean)] + [("mac", keep.encode("cp1252").decode("mac-roman"), "https://mac.example/x")]
     df = spark.createDataFrame(rows, "doc_id string, content string, source string")
-    wrong = encodings.wrong_readings(df, "doc_id", "content", "source", encodings.fit_letter_pairs(df, "content", samples))
+    wrong, _ = encodings.wrong_readings(df, "doc_id", "content", "source", encodings.fit_letter_pairs(df, "content", samples))
     assert "mac" in {r.id for r in wrong.collect()}
 
 
