@@ -91,7 +91,7 @@ class Channel:
 SCHEMA = "source string, swap string, symbol string, letter string, mass double"
 
 
-def learn(settled: DataFrame, runs: DataFrame, model: ciphers.LetterPairs, most_rounds: int = 6, gained: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def learn(settled: DataFrame, runs: DataFrame, model: ciphers.LetterPairs, most_rounds: int = 6, gained: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """tables(source, swap, letters map) and gains(id, source, swap, gain), which are to be added to the pages' own.
 
     settled: weights of the swaps for each document, of which the single-byte ones are learnt; runs: EVIDENCE's runs of all doubtful documents.
@@ -150,7 +150,15 @@ def learn(settled: DataFrame, runs: DataFrame, model: ciphers.LetterPairs, most_
     sure = shown.withColumn("first", first).where((F.col("first") == 1) & (F.col("letter") != F.lower("symbol")))
     # Small letters were learnt; a symbol that is itself a capital shows one.
     letter = F.when(F.upper("symbol") == F.lower("symbol"), F.col("letter")).when(F.col("symbol") == F.upper("symbol"), F.upper("letter")).otherwise(F.col("letter"))
-    tables = cut(sure.groupBy("source", "swap").agg(F.map_from_entries(F.collect_list(F.struct("symbol", letter))).alias("letters")))
+    tables = sure.groupBy("source", "swap").agg(F.map_from_entries(F.collect_list(F.struct("symbol", letter))).alias("letters"))
+
+    def unlike_page(batches):
+        for b in batches:
+            kept = [{k: v for k, v in m if swap == ciphers.LEARNT or ciphers.readings(k).get(swap) != v} for swap, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(m.items()) for m in kept], pa.map_(pa.string(), pa.string()))], ["source", "swap", "letters"])
+
+    # What the pages' tables say as well needn't be said again.
+    tables = cut(tables.mapInArrow(unlike_page, "source string, swap string, letters map<string,string>").where(F.size("letters") > 0))
 
     def gain(batches):
         for b in batches:
@@ -163,7 +171,8 @@ def learn(settled: DataFrame, runs: DataFrame, model: ciphers.LetterPairs, most_
                 out.append(n * diff)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), b.column("swap"), pa.array(out, pa.float64()), pa.array([len(x) for x in b.column("letters").to_pylist()], pa.int32())], ["id", "source", "swap", "gain", "size"])
 
-    diffs = own.join(tables, ["source", "swap"]).mapInArrow(gain, "id string, source string, swap string, gain double, size int")
+    touched = F.exists(F.split("run", ""), lambda x: F.map_contains_key("letters", x))
+    diffs = own.join(tables, ["source", "swap"]).where(touched).mapInArrow(gain, "id string, source string, swap string, gain double, size int")
     per = cut(diffs.groupBy("id", "source", "swap").agg(F.sum("gain").alias("gain"), F.max("size").alias("size")))
     whole = per.where((F.col("swap") == ciphers.LEARNT) & (F.col("gain") >= LEAST_DOCUMENT)).groupBy("source").agg(F.sum("gain").alias("all"), F.max("size").alias("letters"), F.count("*").alias("docs"))
     good = whole.where((F.col("all") >= LEAST_TABLE + LEAST_LETTER * F.col("letters")) & (F.col("docs") >= LEAST_DOCUMENTS)).select("source", F.lit(ciphers.LEARNT).alias("swap"))

@@ -74,26 +74,27 @@ def fit_letter_pairs(docs: DataFrame, text_col: str, samples: DataFrame, sample_
     def pairs(batches):
         model, plain, kept, lines = first.value, np.zeros(counts.shape, np.int64), {}, Counter()
         for b in batches:
-            clean, owners, seen = [], [], set()
+            clean, high, seen = [], [], set()
             for source, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for line in set((x or "").split("\n")):
                     if line.isascii():
-                        clean.append(line)
-                        owners.append(source)
+                        clean.append((source, line))
                     elif not ciphers.disguised(line):
-                        swap, sure = ciphers.suspicion(model, line, LEAST_GAIN)
-                        if (source, line) not in seen:
-                            seen.add((source, line))
-                            lines[source, swap if sure else None] += 1
-                        if swap is None:
-                            clean.append(line)
-                            owners.append(source)
-                        else:
-                            c = model.encode(line).astype(np.int64)
-                            lang = int(model.logp[c[:-1], c[1:]].sum(0).argmax())
-                            own = np.ravel_multi_index((lang, c[:-1], c[1:]), counts.shape)
-                            kept.setdefault((source, swap), Counter()).update(own.tolist())
-            for part in ciphers.stretches(list(zip(owners, clean)), text=lambda x: x[1]):
+                        high.append((source, line))
+            for part in ciphers.stretches(high, text=lambda x: x[1]):
+                for doubt, (source, line) in zip(model.doubtful([x for _, x in part])[0].tolist(), part):
+                    swap, sure = ciphers.suspicion(model, line, LEAST_GAIN) if doubt else (None, False)
+                    if (source, line) not in seen:
+                        seen.add((source, line))
+                        lines[source, swap if sure else None] += 1
+                    if swap is None:
+                        clean.append((source, line))
+                    else:
+                        c = model.encode(line).astype(np.int64)
+                        lang = int(model.logp[c[:-1], c[1:]].sum(0).argmax())
+                        own = np.ravel_multi_index((lang, c[:-1], c[1:]), counts.shape)
+                        kept.setdefault((source, swap), Counter()).update(own.tolist())
+            for part in ciphers.stretches(clean, text=lambda x: x[1]):
                 for i, cell, letter in zip(*(v.tolist() for v in model.count([x for _, x in part], plain))):
                     kept.setdefault((part[i][0], f"{STRANGE}{letter}"), Counter())[cell] += 1
         flat = plain.ravel()
@@ -156,9 +157,9 @@ def evidence(docs: DataFrame, id_col: str, text_col: str, source_col: str, model
     return spread(once).mapInArrow(run, EVIDENCE).distinct()
 
 
-def settle(swaps: DataFrame, most_rounds: int = 8, settled: float = 0.5) -> DataFrame:
+def settle(swaps: DataFrame, most_rounds: int = 8, settled: float = 0.002) -> DataFrame:
     """(id, source, swap, gain, share, w): the weight of each swap for each document, by expectation-maximisation
-    over the sources' shares of swaps until no share moves by as much as `settled` documents."""
+    over the sources' shares of swaps until their sum moves by less than a document and the part `settled`."""
     now, before = swaps.select("id", "source", "swap", "gain", F.lit(0.0).alias("share")), None
     for _ in range(most_rounds):
         x = F.exp(F.least(F.col("gain"), F.lit(60.0)) + F.col("share") - DOUBT)
@@ -169,7 +170,7 @@ def settle(swaps: DataFrame, most_rounds: int = 8, settled: float = 0.5) -> Data
         share = F.least(F.lit(TRUST), F.log1p(F.greatest(F.col("docs") - F.col("w"), F.lit(0.0))))
         now = cut(weight.join(shares, ["source", "swap"]).select("id", "source", "swap", "gain", share.alias("share"), "w"))
         moved = now.agg(F.sum("w"), F.sum("share")).collect()[0]
-        if before is not None and all(abs((a or 0.0) - (b or 0.0)) < settled for a, b in zip(moved, before)):
+        if before is not None and all(abs((a or 0.0) - (b or 0.0)) < 1 + settled * abs(a or 0.0) for a, b in zip(moved, before)):
             break
         before = moved
     return now
