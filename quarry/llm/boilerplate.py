@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.runtime import spread
+from quarry.functions.runtime import cores, spread
 from quarry.llm import pagelines as pl
 
 LOW, HIGH, SIGMA = 3.0, 4.0, 1.0
@@ -33,17 +33,24 @@ def is_page(source: str | None) -> bool:
 
 
 def fit_line_model(docs: DataFrame, id_col: str, text_col: str, source_col: str, title_col: str, max_docs: int = 6000) -> pl.LineModel:
-    """Line model of at most max_docs documents, chosen by a hash of their id."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("x"), F.col(source_col).alias("s"), F.col(title_col).alias("t"))
-    total = max(rows.count(), 1)
-    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(min(1.0, max_docs / total) * 1_000_000) + 1).limit(max_docs).collect()
-    pages, clean = [], []
-    for r in sorted(picked, key=lambda r: (r.h, r.x)):
-        if r.x.strip():
-            (pages if is_page(r.s) else clean).append(line_features(r.x, r.s, r.t)[1])
-    if not pages or not clean:
+    """Line model of at most max_docs documents, those with the least hashes of their ids; their features are made
+    by the executors."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\S"))
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("g"), F.col(text_col).alias("x"), F.col(source_col).alias("s"), F.col(title_col).alias("t"))
+    picked = rows.orderBy("h", "g").limit(max_docs)
+
+    def features(batches):
+        for b in batches:
+            out = [[sorted(f) for f in line_features(x, s, t)[1]] for x, s, t in zip(*(b.column(c).to_pylist() for c in ("x", "s", "t")))]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g"), pa.array([is_page(s) for s in b.column("s").to_pylist()]), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["h", "g", "page", "lines"])
+
+    found = picked.repartition(cores(docs.sparkSession)).mapInArrow(features, "h long, g long, page boolean, lines array<array<int>>").toArrow().sort_by([("h", "ascending"), ("g", "ascending")])
+    docs_of = {True: [], False: []}
+    for page, lines in zip(found.column("page").to_pylist(), found.column("lines").to_pylist()):
+        docs_of[page].append(lines)
+    if not docs_of[True] or not docs_of[False]:
         return pl.LineModel(np.zeros(1 << pl.BITS), 0.0)
-    return pl.train(pages, clean)
+    return pl.train(docs_of[True], docs_of[False])
 
 
 def smooth(scores: np.ndarray) -> np.ndarray:
@@ -69,11 +76,13 @@ def two_means(x: np.ndarray) -> float:
 
 def site_lines(model: pl.LineModel, content: str, source: str | None, title: str | None) -> list[int]:
     """Numbers of the non-blank lines that aren't the article's."""
-    numbers, rows = line_features(content, source, title)
+    whole = content.split("\n")
+    numbers = [i for i, line in enumerate(whole) if line.strip()]
     if not numbers:
         return []
-    lines = [content.split("\n")[i].strip() for i in numbers]
-    score = model.scores(rows)
+    lines = [whole[i].strip() for i in numbers]
+    ratio = pl.text_to_tag(content)
+    score = model.line_scores([whole[i] for i in numbers], [ratio[i] for i in numbers], pl.site_name(source), title or "")
     # Languages that sites use more than shared files do lift all lines of a page: its plain sentences show by how much.
     name = pl.site_name(source)
     plain = np.array([len(x) >= 40 and bool(pl.END.search(x)) and not pl.LINK.search(x) and not pl.SEPARATOR.search(x) and pl.SITE not in pl.masked(x, name) for x in lines])

@@ -60,6 +60,8 @@ class PrefixEncoder:
         pair = (left, right)
         known = self.fits.get(pair)
         if known is None:
+            if len(self.fits) > MEMO:
+                self.fits.clear()
             known = self.fits[pair] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 

@@ -115,6 +115,6 @@ def assign_languages(df: DataFrame, id_col: str, text_col: str, label_col: str,
 
 
 def language_cases(assigned: DataFrame, id_col: str) -> DataFrame:
-    """Wrong or missing labels (line_no -1) and foreign lines."""
-    wrong = (F.col("line_no") == -1) & ~F.col("label_right") & (F.col("confidence") >= 0.5)
+    """Wrong or missing labels (line_no -1), whatever the confidence, and foreign lines."""
+    wrong = (F.col("line_no") == -1) & ~F.col("label_right")
     return assigned.where(wrong | (F.col("line_no") >= 0)).select(id_col, "line_no", "lang")

@@ -4,10 +4,11 @@ Vertical partitioning. All shingles are put into one global order, the rarest fi
 of fixed size that counts every shingle of the corpus. Each text's shingles are cut into fragments of this order:
 its prefix, without which no partner of the wanted similarity can be had, and the rest. Prefix fragments are
 spread over partitions by shingle; each partition meets the texts that share a shingle, drops pairs that the
-lengths, the positions in the order, or an outline of both sets (a string of bits) rule out. For the others the overlaps are counted
-fragment by fragment, the rarest first, and summed; a pair whose sum, with all that its remaining fragments could
-add, stays under the needed overlap is dropped. The bounds are exact: no pair at or over the threshold is lost and
-none under it is given.
+lengths or an outline of both sets (a string of bits) rule out, and counts the overlap of each other pair in its own
+fragment. A group-by sums these partial overlaps for each pair; a pair whose sum, with all that the rest of both
+texts could add, stays under the needed overlap is dropped. For the others the fragments of the rest are counted,
+the rarest first, and summed under the same bound. The bounds are exact: no pair at or over the threshold is lost
+and none under it is given. Only texts of such pairs are fetched, by a filter of their keys.
 
 Copies of a text are met once (by a key of its tokens) and come back at the end.
 """
@@ -167,7 +168,8 @@ def prefix_fragments(texts: list[str | None], rarity: np.ndarray, n: int, least_
 
 
 def meeting_pairs(heads: list[bytes], posts: list[bytes], wides: list[bytes], t: float, block: int = 2_000_000):
-    """Pairs that meet in a partition and aren't ruled out, by their keys, each once."""
+    """(key_a, key_b, size_a, size_b) of the pairs that meet in a partition and aren't ruled out, each once, and how
+    many shingles of the partition's fragment they share (never less than that)."""
     tables = [np.frombuffer(x, TEXT) for x in heads]
     base = np.cumsum([0] + [len(x) for x in tables])
     text = np.concatenate(tables)
@@ -203,8 +205,6 @@ def meeting_pairs(heads: list[bytes], posts: list[bytes], wides: list[bytes], t:
             turn = np.arange(len(left)) - np.repeat(np.cumsum(reach[i:j]) - reach[i:j], reach[i:j])
             right = left + 1 + turn
             need = overlap_needed(size[left], size[right], t)
-            ok = 1 + np.minimum(size[left] - pos[left], size[right] - pos[right]) - 1 >= need
-            left, right, need = left[ok], right[ok], need[ok]
             da, db = doc[left], doc[right]
             differ = np.bitwise_count(bits[da] ^ bits[db]).sum(1, dtype=np.int64)
             ok = size[left] + size[right] - differ >= 2 * need
@@ -214,11 +214,13 @@ def meeting_pairs(heads: list[bytes], posts: list[bytes], wides: list[bytes], t:
             ok = np.ones(len(left), bool)
             ok[big_pair] = size[left[big_pair]] + size[right[big_pair]] - differ >= 2 * need[big_pair]
             left, right = left[ok], right[ok]
-            out.append(np.stack([key[left], key[right]], axis=1))
+            turned = key[left] > key[right]
+            a, b = np.where(turned, right, left), np.where(turned, left, right)
+            out.append(np.stack([key[a], key[b], size[a], size[b]], axis=1))
         i = j
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    pairs.sort(axis=1)
-    return np.unique(pairs, axis=0)
+    if not out:
+        return np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+    return np.unique(np.concatenate(out), axis=0, return_counts=True)
 
 
 # ---- exact counting
@@ -282,6 +284,44 @@ def _packed(rows):
 PACKED = "place int, kind int, blob binary"
 
 
+def enough_shared(met: DataFrame, t: float) -> DataFrame:
+    """(key_a, key_b): partial overlaps summed for each pair; what the prefixes don't hold is bounded by the rest of
+    the smaller text after its index prefix or of the larger one after its probe prefix."""
+    summed = met.groupBy("key_a", "key_b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("shared").alias("shared"))
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    rest = F.greatest(F.ceil(2 * t * small / (1 + t) - 1e-9), F.ceil(t * large - 1e-9)) - 1
+    return summed.where(F.col("shared") + rest >= F.ceil(t * (small + large) / (1 + t) - 1e-9)).select("key_a", "key_b")
+
+
+def key_filter(pairs: DataFrame, least_bits: int = 20, most_bits: int = 27) -> np.ndarray:
+    """Which remainders of keys occur in the pairs: about sixteen places for each key up to 2^most_bits of them,
+    128 MB. Beyond, more texts pass that no pair asks for; none is lost."""
+    bits = int(np.clip(np.ceil(np.log2(32 * max(pairs.count(), 1))), least_bits, most_bits))
+    width = (1 << bits) // SKETCH_SLICES
+
+    def mark(batches):
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            for k in (0, 1):
+                seen[b.column(k).to_numpy() & ((1 << bits) - 1)] = True
+        packed = [zlib.compress(np.packbits(seen[s * width : (s + 1) * width]).tobytes(), 1) for s in range(SKETCH_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "marks"])
+
+    def join(batches):
+        all_: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = all_.setdefault(s, np.zeros(width // 8, np.uint8))
+                own |= np.frombuffer(zlib.decompress(blob), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([x.tobytes() for x in all_.values()], pa.binary())], ["slice", "marks"])
+
+    schema = "slice int, marks binary"
+    out = np.zeros(1 << bits, bool)
+    for s, blob in pairs.mapInArrow(mark, schema).repartition(min(SKETCH_SLICES, shuffle_width(pairs.sparkSession)), "slice").mapInArrow(join, schema).collect():
+        out[s * width : (s + 1) * width] = np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
+    return out
+
+
 def similar_pairs(df: DataFrame, text_col: str, t: float, n: int = 3, least_words: int = 40) -> DataFrame:
     """(key_a, key_b, similarity) of different token sequences, key_a < key_b, with a Jaccard similarity of their
     sets of n consecutive words of at least t; texts of fewer than least_words words, and null ones, have none."""
@@ -296,11 +336,12 @@ def similar_pairs(df: DataFrame, text_col: str, t: float, n: int = 3, least_word
 
     def meet(batches):
         for own in _grouped(batches).values():
-            pairs = meeting_pairs(own[0], own[1], own[2], t)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key_a", "key_b"])
+            pairs, shared = meeting_pairs(own[0], own[1], own[2], t)
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(shared.astype(np.int64))], ["key_a", "key_b", "size_a", "size_b", "shared"])
 
-    met = rows.mapInArrow(deal, PACKED).repartitionById(parts, F.col("place")).mapInArrow(meet, "key_a long, key_b long")
-    candidates = cut(met.distinct())
+    met = rows.mapInArrow(deal, PACKED).repartitionById(parts, F.col("place")).mapInArrow(meet, "key_a long, key_b long, size_a long, size_b long, shared long")
+    candidates = cut(enough_shared(met, t))
+    wanted = spark.sparkContext.broadcast(key_filter(candidates))
 
     # Texts go to the place of their key; from there to the places of their partners.
     def send_texts(batches):
@@ -308,7 +349,9 @@ def similar_pairs(df: DataFrame, text_col: str, t: float, n: int = 3, least_word
             seen = {}
             for x in b.column(0).to_pylist():
                 if x and len(x) >= 2 * least_words - 1 and len(words := tokens(x)) >= least_words:
-                    seen.setdefault(text_key(words), " ".join(words))
+                    key = text_key(words)
+                    if wanted.value[key & (len(wanted.value) - 1)]:
+                        seen.setdefault(key, " ".join(words))
             keys = np.array(list(seen), np.int64)
             texts, place = list(seen.items()), _place(keys, parts)
             yield _packed([(p, 0, _pack([texts[i] for i in np.flatnonzero(place == p)])) for p in np.unique(place).tolist()])
@@ -397,14 +440,17 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, t: float, n:
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, t: float, n: int = 3, least_words: int = 40) -> DataFrame:
-    """(id, group_id, links): one row for each id with enough words; group_id is the least key of the token
-    sequences that links join, links the number of other token sequences it is similar to. Copies share all."""
+    """(id, group_id, links): one row for each id; group_id is the least key of the token sequences that links join,
+    links the number of other token sequences it is similar to. Copies share all. An id whose text is null or has
+    too few words is in no group: its group_id is null and it has no links."""
     pairs = cut(similar_pairs(df, text_col, t, n, least_words).select("key_a", "key_b"))
     own = members(df, id_col, text_col, least_words)
     both = pairs.unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
     links = both.groupBy(F.col("key_a").alias("key")).agg(F.count("*").alias("links"))
     roots = components(pairs, "key_a", "key_b")
-    return own.join(roots, "key", "left").join(links, "key", "left").select("id", F.coalesce("root", "key").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    grouped = own.join(roots, "key", "left").join(links, "key", "left").select("id", F.coalesce("root", "key").alias("group_id"), "links")
+    every = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id")).distinct()
+    return every.join(grouped, "id", "left").select("id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:

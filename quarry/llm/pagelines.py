@@ -45,6 +45,8 @@ class LineEvents(HTMLParser):
 
 def text_to_tag(content: str) -> list[float]:
     """Characters of text for each tag of every line; links and separators of plain-text pages count as tags."""
+    if "<" not in content and "&" not in content and "](" not in content:  # no event but text
+        return [len(x) / (1 + (0 if TABLE.match(x) else len(SEPARATOR.findall(x)))) for x in map(str.strip, content.split("\n"))]
     marked = LINK.sub(lambda m: f"<a>{m[1]}</a>", content) if "](" in content else content
     parser = LineEvents()
     parser.feed(marked)
@@ -87,9 +89,36 @@ def features(line: str, ratio: float, site: str, title: str) -> list[int]:
     return [zlib.crc32(x.encode()) >> (32 - BITS) for x in names]
 
 
+MEMO = 200_000
+
+
+def title_kind(line: str, title: str) -> str:
+    """What of a line's features the title decides."""
+    low, bare = title.lower().strip(), BULLET.sub("", HEADING.sub("", LINK.sub(r"\1", line).strip())).strip().lower()
+    return "" if not title else "is" if bare == low else "ends" if bare.endswith(low) else "no"
+
+
 class LineModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
+        self._known: dict[tuple, float] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def line_scores(self, lines: list[str], ratios: list[float], site: str, title: str) -> np.ndarray:
+        """Scores of a page's lines; a line that a site has on many pages is weighed once."""
+        if len(self._known) > MEMO:
+            self._known.clear()
+        keys = [(site, line, int(np.log2(r + 1)), title_kind(line, title) if title else "") for line, r in zip(lines, ratios)]
+        new = {k: i for i, k in enumerate(keys) if k not in self._known}
+        if new:
+            scores = self.scores([features(lines[i], ratios[i], site, title) for i in new.values()])
+            self._known.update(zip(new, scores.tolist()))
+        return np.array([self._known[k] for k in keys])
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         """Log-odds that a line is of the site, 0 where it is as likely in clean articles."""

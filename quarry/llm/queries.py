@@ -107,6 +107,13 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+#: Exact Jaccard similarity of sets of three consecutive words; a dotted capital I is small i and a combining dot.
+PAIRS = r"""
+    WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(replace(content, 'İ', 'i' || chr(775))), '[\p{L}\p{N}_]+') AS ws FROM chunks WHERE content IS NOT NULL),
+    s AS (SELECT DISTINCT id, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) AS g FROM w WHERE len(ws) >= 40),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+    SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.5 * (x.n + y.n - shared)"""
 #: Content without white space at its ends.
 STRIPPED = r"regexp_replace(content, '^[\s\x{85}\x{1C}-\x{1F}\p{Z}]+|[\s\x{85}\x{1C}-\x{1F}\p{Z}]+$', '', 'g')"
 OVERSIZED = f"""
@@ -117,6 +124,7 @@ OVERSIZED = f"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": PAIRS,
         "p4_found": f"SELECT item_kind, item_id FROM ({OVERSIZED})",
         "p4_whole": f"SELECT item_kind, item_id, n_chars, true AS fits, true AS overlaps, true AS whole FROM ({OVERSIZED})",
     }

@@ -84,7 +84,8 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == shingle_pairs(rows, 0.5)
     groups = {r.id: r for r in nearduplicates.near_duplicate_groups(df, "id", "content", 0.5).collect()}
     assert all(groups[a].group_id == groups[b].group_id for a, b in pairs)
-    assert len(groups) == len({i for i, x in rows if i and x and len(x.split()) >= 40})
+    assert {i for i, r in groups.items() if r.group_id is not None} == {i for i, x in rows if i and x and len(x.split()) >= 40}
+    assert set(groups) == {i for i, _ in rows if i} and all(r.links == 0 for r in groups.values() if r.group_id is None)
     assert nearduplicates.near_duplicate_pairs(df.limit(0), "id", "content", 0.5).count() == 0
 
 
@@ -203,6 +204,11 @@ def test_no_samples(spark):
     assert len(langmodel.subwords("ab", 64)) > 2
 
 
+def test_long_texts_take_the_same_ids(encoder, public):
+    text = "wörter und 12 界 it's  \n" * 9000
+    assert len(text) > 200_000 and encoder.encode(text) == public.encode_ordinary(text)
+
+
 # ---- p4
 
 
