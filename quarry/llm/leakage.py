@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,16 +218,14 @@ def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str, text_col: st
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> list[list]:
-    """The test items in blocks of bounded size, read one partition at a time."""
-    blocks, size, seen = [], 0, set()
-    for r in items.where(F.col(items.columns[1]).isNotNull()).toLocalIterator():
-        if (r[0], r[1]) in seen:
-            continue
-        seen.add((r[0], r[1]))
-        if not blocks or size + len(r[1]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], r[1]))
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list]:
+    """The different test items in blocks of bounded size; the driver holds one block and one partition at a time."""
+    block, size = [], 0
+    for r in items.where(F.col(items.columns[1]).isNotNull()).distinct().toLocalIterator():
+        if block and size + len(r[1]) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += len(r[1])
-    return blocks
+    if block:
+        yield block
