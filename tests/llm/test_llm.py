@@ -102,12 +102,24 @@ def test_hot_lists_are_dealt_in_blocks_without_loss(spark, monkeypatch):
     for p, *blobs in nearduplicates.prefix_fragments(texts, rarity, 3, 40, 0.5, 4):
         for k, b in enumerate(blobs):
             parts.setdefault(p, {}).setdefault(k, []).append(b)
-    met = {tuple(x) for own in parts.values() for x in nearduplicates.meeting_pairs(own[0], own[1], own[2], 0.5).tolist()}
+    shared: dict = {}
+    for own in parts.values():
+        pairs, counts = nearduplicates.meeting_pairs(own[0], own[1], own[2], 0.5)
+        for a, b, m, n, c in zip(*pairs.T.tolist(), counts.tolist()):
+            shared[a, b] = (m, n, shared.get((a, b), (m, n, 0))[2] + c)
+    rest = lambda m, n: max(math.ceil(min(m, n) * 2 / 3 - 1e-9), math.ceil(max(m, n) / 2 - 1e-9)) - 1
+    met = {k for k, (m, n, c) in shared.items() if c + rest(m, n) >= math.ceil((m + n) / 3 - 1e-9)}
     key = {f"{i}": nearduplicates.text_key(nearduplicates.tokens(x)) for i, x in enumerate(texts)}
     want = {tuple(sorted((key[a], key[b]))) for a, b in shingle_pairs([(str(i), x) for i, x in enumerate(texts)], 0.5) if key[a] != key[b]}
     assert want <= met
 
 
+def test_key_filter_passes_every_key(spark):
+    pairs = spark.createDataFrame([(-5, 7), (2**62, -(2**60)), (7, 99)], "key_a long, key_b long")
+    marks = nearduplicates.key_filter(pairs)
+    assert all(marks[k & (len(marks) - 1)] for k in (-5, 7, 99, 2**62, -(2**60))) and marks.sum() <= 5
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.key: r.root for r in nearduplicates.components(edges, "a", "b").collect()}
@@ -465,7 +477,7 @@ def test_mac_roman_among_clean_documents(spark, data):
 
 def test_readings_and_marks():
     assert ciphers.readings("Ã¼")["cp1252>utf-8"] == "ü"
-    assert ciphers.translation("koi8-r>cp1251", ["н"]) is not None and ciphers.translation("cp1252>utf-8", ["Ã¼"]) is None
+    assert ciphers.translation("koi8-r>cp1251", ["н"], {}) is not None and ciphers.translation("cp1252>utf-8", ["Ã¼"], {}) is None
     assert ciphers.damaged("a �") and ciphers.damaged("the ?word?") and ciphers.damaged("x \x93y")
     assert not ciphers.damaged("really? yes") and not ciphers.damaged("see https://a.example/?q=x")
 
@@ -518,3 +530,26 @@ def test_queries_run(spark, data, name):
 def test_vocabulary_is_not_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for _, _, files in os.walk(root) for f in files if f.endswith((".tiktoken", ".model", ".parquet"))]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(same_as_sql, name):
+    same_as_sql(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_recall_of_the_neighbours_against_brute_force(spark):
+    """Both queries over the chunks of sf0.01, against all cosines."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r.id: r.embedding for r in spark.read.parquet(f"{folder}/chunks.parquet").select("id", "embedding").collect()}
+    ids = sorted(i for i, v in rows.items() if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v))
+    x = np.array([rows[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 10)
+    np.fill_diagonal(s, -2)
+    best = [np.lexsort((np.arange(len(ids)), -row))[:5] for row in s]
+    want = {(ids[i], ids[j]) for i, js in enumerate(best) for j in js}
+    got = {(r.id, r.neighbour) for r in queries.p5_neighbours(spark, folder).collect()}
+    assert len(got) == 5 * len(ids) and len(got & want) >= 0.9 * len(want)
+    cases = {tuple(sorted((ids[i], ids[j]))) for i, js in enumerate(best) for j in js if s[i, j] >= 0.85}
+    found = {(r.id_a, r.id_b) for r in queries.p5_found(spark, folder).collect()}
+    assert len(found & cases) >= 0.98 * max(len(cases), len(found))
