@@ -136,14 +136,14 @@ class CellIndex:
         self.margin = self._margin(some, near[:, 0], fit)
 
     def _margin(self, x: np.ndarray, home: np.ndarray, residual: np.ndarray, asks: int = 256) -> float:
-        """By how much a score may miss the cosine, for all but one in 40 of the sample's nearest."""
+        """By how much a score may fall short of the cosine, for all but three in 100 of the sample's nearest."""
         some = np.linspace(0, len(x) - 1, min(asks, len(x))).astype(int)
         s = x[some] @ x.T
         n = min(16, len(x))
         flat = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
         said = self.codes.decode(self.codes.encode(residual[flat], x[flat])) + self.centre(home[flat])
         error = ((said - x[flat]) * np.repeat(x[some], n, axis=0)).sum(1)
-        return float(np.quantile(np.abs(error), 0.975)) + 1e-3
+        return float(np.quantile(-error, 0.97)) + 1e-3
 
     def centre(self, cells):
         return self.centres[cells // len(self.fines)] + self.fines[cells % len(self.fines)]
