@@ -187,7 +187,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
     afar = afar.join(known.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(known.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
     afar = afar.select("a", "b", "va", "vb").mapInArrow(measure, "a long, b long, cosine double").where(F.col("cosine") >= least)
     both = afar.select(F.explode(F.array(F.struct(F.col("a").alias("ask"), F.col("b").alias("cand")), F.struct(F.col("b").alias("ask"), F.col("a").alias("cand")))).alias("p"), "cosine")
-    pairs = met.where(F.col("cosine") >= least).unionByName(both.select("p.*", "cosine")).groupBy("ask", "cand").agg(F.max("cosine").alias("cosine"))
+    # Two vectors have one home or two, and each asks once: no pair is among both.
+    pairs = met.where(F.col("cosine") >= least).unionByName(both.select("p.*", "cosine"))
     best = pairs.withColumn("r", F.rank().over(Window.partitionBy("ask").orderBy(F.round("cosine", 10).desc()))).where(F.col("r") <= k)
 
     def entries(cosine):
