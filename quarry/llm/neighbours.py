@@ -88,8 +88,9 @@ def vectors(rows: DataFrame, dim: int, keep: int) -> DataFrame:
     return ranked.where(F.col("r") <= keep).groupBy("key").agg(F.min("v").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def search_cell(index: CellIndex, cell: int, table: pa.Table, dim: int, k: int, least: float, rerank: int, block: int = 256):
-    """(ask, candidate, cosine) of one cell: cosine is exact for candidates at home here, missing for others."""
+def search_cell(index: CellIndex, cell: int, table: pa.Table, dim: int, k: int, least: float, rerank: int, afar: int, block: int = 256):
+    """(ask, candidate, cosine) of one cell: cosine is exact for candidates at home here, missing for others, of which
+    the `afar` best scores may be fetched."""
     key = table.column("key").to_numpy()
     code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
     home = table.column("v").is_valid().to_numpy(zero_copy_only=False)
@@ -119,7 +120,11 @@ def search_cell(index: CellIndex, cell: int, table: pa.Table, dim: int, k: int,
         at_k = order[(rank == k - 1) & near[order]]
         kth[q[at_k]] = np.maximum(exact[at_k], least)
         approx = score[q, d] / scale[q] + low[q]
-        good = np.where(near, np.round(exact, 10) >= np.round(kth[q], 10), approx >= kth[q] - index.margin)
+        far = np.lexsort((-approx, near, q))
+        place = np.arange(len(q)) - np.searchsorted(q[far], q[far])
+        best = np.zeros(len(q), bool)
+        best[far[place < afar]] = True
+        good = np.where(near, np.round(exact, 10) >= np.round(kth[q], 10), best & (approx >= kth[q] - index.margin))
         for column, value in zip(out, (key[mine[q[good]]], key[d[good]], exact[good])):
             column.append(value)
     ask, cand, cos = (np.concatenate(c) if c else np.zeros(0) for c in out)
@@ -132,7 +137,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
 
     Usable vectors have dim numbers, all finite and not all zero; others, and rows with a null id, neither ask nor
     answer. An id given twice counts once. Cells are as many as vectors / cell_size, fitted on about `sample`
-    vectors chosen by a hash; each vector is in `copies` cells; `rerank` candidates of a cell are ranked exactly.
+    vectors chosen by a hash; each vector is in `copies` cells; the `rerank` best scores of a cell are candidates: those at home there are ranked
+    exactly at once, of the others the 3k best whose scores may still matter.
     """
     spark = df.sparkSession
     rows = spread(df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL"))
@@ -172,7 +178,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
             yield pa.RecordBatch.from_arrays(columns, ["cell", "block", "key", "asks", "code", "v"])
 
     def search(group, table):
-        return search_cell(index.value, group[0].as_py(), table, dim, k, least, rerank)
+        return search_cell(index.value, group[0].as_py(), table, dim, k, least, rerank, 3 * k)
 
     width = max(shuffle_width(spark), 4 * cores(spark), fitted.cells // 64)
     placed = known.select("key", "v").mapInArrow(deal, "cell long, block int, key long, asks boolean, code binary, v binary").repartition(width, "cell", "block")
