@@ -2,8 +2,10 @@ import json
 import math
 import random
 import re
+import shutil
 import urllib.error
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -605,3 +607,27 @@ def test_exact_rubric_covers_every_ranking_metric(spark, data):
     status = {r.dimension: r.status for r in catalog.queries()["rubric_exact"](spark, data).collect()}
     assert len(status) == len(stats.RUBRIC)
     assert all(status[d] in ("PASS", "FAIL") for d in ("ranking_recall", "ranking_mrr", "ranking_ndcg")) and status["faithfulness"] == "NA"
+
+
+SEARCHES = ["bm25_topk"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_save_no_postings(spark, tmp_path, name):
+    """Of chunks without an index a search saves the chunks alone."""
+    for t in ("chunks", "qrels"):
+        shutil.copy(f"/root/testdata/sf0.01/{t}.parquet", tmp_path)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*shared.glob("quarry-index-*")}
+    getattr(catalog, name)(spark, str(tmp_path))
+    fresh = {*shared.glob("quarry-index-*")} - before
+    assert len(fresh) == 1 and not any((p / "postings").exists() for p in fresh)
+
+
+def test_equal_chunks_of_a_search(spark):
+    """More equal chunks than are kept: the smaller ids; queries of the same words each have their rows."""
+    rows = [(f"c{i:03}", f"d{i}", "cat mat" if i % 3 else "cat", "s") for i in range(300)]
+    c = Corpus(spark.createDataFrame(rows, "id string, doc_id string, content string, source string").repartition(5))
+    for search in (retrieve.bm25, retrieve.keyword):
+        got = search(ask(spark, "cat", "mat", "cat"), c, 4).collect()
+        assert {q: [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] for q in range(3)} == {0: ["c000", "c003", "c006", "c009"], 1: ["c001", "c002", "c004", "c005"], 2: ["c000", "c003", "c006", "c009"]}
