@@ -609,7 +609,7 @@ def test_exact_rubric_covers_every_ranking_metric(spark, data):
     assert all(status[d] in ("PASS", "FAIL") for d in ("ranking_recall", "ranking_mrr", "ranking_ndcg")) and status["faithfulness"] == "NA"
 
 
-SEARCHES = ["bm25_topk", "keyword_topk", "rerank_overlap_topk", "rerank_soft_topk", "compare_deltas", "hybrid_rrf_topk", "semantic_fallback_topk", "bm25_stopwords_topk", "keyword_filtered_topk", "bm25_filtered_topk", "bm25_synonyms_topk", "compare_interval", "rerank_threshold_topk"]
+SEARCHES = ["bm25_topk", "keyword_topk", "rerank_overlap_topk", "rerank_soft_topk", "compare_deltas", "hybrid_rrf_topk", "semantic_fallback_topk", "bm25_stopwords_topk", "keyword_filtered_topk", "bm25_filtered_topk", "bm25_synonyms_topk", "compare_interval", "rerank_threshold_topk", "rewritten_topk"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
