@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -631,3 +632,22 @@ def test_equal_chunks_of_a_search(spark):
     for search in (retrieve.bm25, retrieve.keyword):
         got = search(ask(spark, "cat", "mat", "cat"), c, 4).collect()
         assert {q: [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] for q in range(3)} == {0: ["c000", "c003", "c006", "c009"], 1: ["c001", "c002", "c004", "c005"], 2: ["c000", "c003", "c006", "c009"]}
+
+
+def test_native_draws(spark):
+    """Draws equal hashlib's, and blocks of questions add up."""
+    for n in (1, 9, 1234):
+        got = [int(x) for part in stats.native_draws(42, 17, n, 100) for x in part]
+        assert got == [int(hashlib.md5(f"42|17|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+    rows = spark.createDataFrame([(q, m, (q * 7 % 11) / 10) for m, n in (("a", 25), ("b", 25), ("c", 8)) for q in range(n)], "qid long, name string, value double")
+    whole = stats.bootstrap_native(rows, 50)
+    assert sorted(map(str, stats.bootstrap_native(rows, 50, block=10).withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high")}).collect())) == sorted(map(str, whole.withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high")}).collect()))
+
+
+DRAWS = ["bootstrap_native"]
+
+
+@pytest.mark.parametrize("name", DRAWS)
+def test_draws_are_no_rows(spark, data, name):
+    """Draws that are rows of a join may be broadcast."""
+    assert "md5" not in getattr(catalog, name)(spark, data)._jdf.queryExecution().toString().lower()
