@@ -644,7 +644,7 @@ def test_native_draws(spark):
     assert sorted(map(str, stats.bootstrap_native(rows, 50, block=10).withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high")}).collect())) == sorted(map(str, whole.withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high")}).collect()))
 
 
-DRAWS = ["bootstrap_native", "rubric_decision"]
+DRAWS = ["bootstrap_native", "rubric_decision", "rubric_dimensions"]
 
 
 @pytest.mark.parametrize("name", DRAWS)
