@@ -4,6 +4,7 @@ import math
 import random
 import re
 import shutil
+import tracemalloc
 import urllib.error
 from collections import Counter
 from pathlib import Path
@@ -651,3 +652,18 @@ DRAWS = ["bootstrap_native", "rubric_decision", "rubric_dimensions"]
 def test_draws_are_no_rows(spark, data, name):
     """Draws that are rows of a join may be broadcast."""
     assert "md5" not in getattr(catalog, name)(spark, data)._jdf.queryExecution().toString().lower()
+
+
+VALUES = ["rubric_decision"]
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_values_are_no_objects(spark, data, monkeypatch, name):
+    """The driver gets a metric's values as columns, not as rows of objects."""
+    monkeypatch.setattr(catalog, "_long", lambda *_: spark.range(50_000).selectExpr("id AS qid", "'mrr' AS name", "rand(1) AS value"))
+    tracemalloc.start()
+    try:
+        getattr(catalog, name)(spark, data)
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    finally:
+        tracemalloc.stop()
