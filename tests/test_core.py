@@ -667,3 +667,14 @@ def test_values_are_no_objects(spark, data, monkeypatch, name):
         assert tracemalloc.get_traced_memory()[1] < 4_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_equal_vectors_of_a_search(spark, monkeypatch):
+    """Of chunks of one score as many rows as are kept leave a batch, and they are those of the smaller ids."""
+    rows = [(f"c{i:04}", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(2000)]
+    c = Corpus(spark.createDataFrame([(i, v) for i, v in rows[::-1]], "id string, embedding array<double>").repartition(4))
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "qid long, embedding array<double>")
+    got = sorted((r.qid, r.rank, r.id) for r in retrieve.semantic(q, c, 3).collect())
+    assert [(g, i) for g, _, i in got] == [(1, "c0000"), (1, "c0001"), (1, "c0002"), (2, "c0001"), (2, "c0003"), (2, "c0005"), (3, "c0000"), (3, "c0002"), (3, "c0004")]
+    monkeypatch.setattr(retrieve, "top_k", lambda scored, *_: scored)
+    assert retrieve.semantic(q, c, 3).count() <= 4 * 3 * 3
