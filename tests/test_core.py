@@ -654,7 +654,7 @@ def test_draws_are_no_rows(spark, data, name):
     assert "md5" not in getattr(catalog, name)(spark, data)._jdf.queryExecution().toString().lower()
 
 
-VALUES = ["rubric_decision"]
+VALUES = ["rubric_decision", "rubric_dimensions"]
 
 
 @pytest.mark.parametrize("name", VALUES)
