@@ -21,6 +21,7 @@ CHUNKS = """c AS (SELECT id, any_value(doc_id) AS doc_id, any_value(content) AS
     FROM chunks GROUP BY id)"""
 QRELS = """q AS (SELECT qid, any_value(query) AS query, any_value(gold_needles) AS gold_needles, any_value(out_of_scope) AS oos FROM qrels GROUP BY qid)"""
 ASKED = "a AS (SELECT qid, query FROM q WHERE qid % 50 = 0 AND query IS NOT NULL)"
+ASKED_ALL = "a AS (SELECT qid, query FROM q WHERE query IS NOT NULL)"
 RESULTS = """r AS (SELECT x.qid, x.rank_no AS rank, x.chunk_id AS id, x.doc_id, x.score, x.retrieval_method, c.content, c.source FROM
     (SELECT qid, rank_no, any_value(chunk_id) AS chunk_id, any_value(doc_id) AS doc_id, any_value(score) AS score, any_value(retrieval_method) AS retrieval_method FROM results GROUP BY qid, rank_no) x
     LEFT JOIN c ON c.id = x.chunk_id)"""
@@ -167,7 +168,7 @@ def oracle_sql() -> dict[str, str]:
     rr = f"""{bm25}, base AS ({_ranked(scored, 15, 'bm25')}), qw AS (SELECT qid, list_distinct({TOK.format('query')}) AS qw FROM a),
     rs AS (SELECT qid, id, rank AS br, CASE WHEN len(qw) = 0 THEN 0.0 ELSE len(list_intersect(qw, terms)) / len(qw) END AS score FROM base JOIN qw USING (qid) JOIN t USING (id)),
     rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, br) AS rank FROM rs)"""
-    out["rerank_overlap_topk"] = f"{rr} SELECT qid, rank, id, round(score, 6) AS score, 'rerank:mock(bm25)' AS retrieval_method FROM rk WHERE rank <= 5"
+    out["rerank_overlap_topk"] = f"{rr.replace(ASKED, ASKED_ALL)} SELECT qid, rank, id, round(score, 6) AS score, 'rerank:mock(bm25)' AS retrieval_method FROM rk WHERE rank <= 5"
     out["rerank_threshold_topk"] = f"""{rr}, ok AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, id, round(score, 6) AS score, 'rerank:mock(bm25)' AS retrieval_method FROM rk WHERE rank <= 5 AND score >= 0.8)
     SELECT * FROM ok UNION ALL SELECT qid, rank, id, score, retrieval_method FROM base WHERE rank <= 5 AND qid NOT IN (SELECT qid FROM ok)"""
     keep = f"[x FOR x IN {TOK.format('query')} IF NOT list_contains({_list(FILLERS)}, x)]"

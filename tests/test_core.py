@@ -678,3 +678,41 @@ def test_equal_vectors_of_a_search(spark, monkeypatch):
     assert [(g, i) for g, _, i in got] == [(1, "c0000"), (1, "c0001"), (1, "c0002"), (2, "c0001"), (2, "c0003"), (2, "c0005"), (3, "c0000"), (3, "c0002"), (3, "c0004")]
     monkeypatch.setattr(retrieve, "top_k", lambda scored, *_: scored)
     assert retrieve.semantic(q, c, 3).count() <= 4 * 3 * 3
+
+
+EVERY = ["rerank_overlap_topk"]
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_searches_take_every_question(spark, data, name):
+    """Every golden question that shares a word with a chunk has results, not those of some qids alone."""
+    words = catalog.asked_all(spark, data).select("qid", F.explode(text.tokens(F.col("query"))).alias("term"))
+    known = catalog.chunks(spark, data).select(F.explode(text.tokens(F.col("content"))).alias("term")).distinct()
+    want = {r.qid for r in words.join(known, "term").select("qid").distinct().collect()}
+    got = {r.qid for r in getattr(catalog, name)(spark, data).select("qid").distinct().collect()}
+    assert got == want and any(q % 50 for q in got)
+
+
+@pytest.mark.parametrize("search", ["bm25", "keyword"])
+def test_searches_by_bounds(spark, monkeypatch, search):
+    """What is left out by bounds, in meetings of few chunks, is not among the best."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:04}", " ".join(words[int(40 * ((i * 7919 + j * 104729) % 9973 / 9973) ** 3)] for j in range(3 + i % 9))) for i in range(900)]
+    c = Corpus(spark.createDataFrame(rows, "id string, content string").repartition(3))
+    q = ask(spark, *[" ".join(words[(i * j * j + j) % 40] for j in range(1, 2 + i % 6)) for i in range(60)])
+
+    def found():
+        return sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in getattr(retrieve, search)(q, c, 5).collect())
+
+    best_hits = retrieve.best_hits
+
+    def small(*args):
+        with pytest.MonkeyPatch.context() as own:  # in the worker
+            for what, n in {"OPENING": 8, "MEETING": 32, "AT_ONCE": 8, "DENSE": 3}.items():
+                own.setattr(retrieve, what, n)
+            yield from best_hits(*args)
+
+    whole = getattr(retrieve, search)(q, c, 1000).where("rank <= 5")
+    want = sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in whole.collect())
+    monkeypatch.setattr(retrieve, "best_hits", small)
+    assert found() == want
