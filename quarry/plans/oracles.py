@@ -236,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
     SELECT g.id, string_agg(coalesce(x, 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS bag FROM g LEFT JOIN b ON b.id = g.id AND b.b = g.i GROUP BY g.id"""
     mrr = lambda s, name: f"""{name} AS (SELECT a.qid, coalesce(1.0 / min(CASE WHEN len([x FOR x IN coalesce(q.gold_needles, []) IF x IS NOT NULL AND x <> '' AND contains(lower(coalesce(c.content, '')), lower(x))]) > 0 THEN k.rank END), 0.0) AS v FROM a JOIN q USING (qid) LEFT JOIN ({_ranked(s, 10, name)}) k ON k.qid = a.qid LEFT JOIN c ON c.id = k.id GROUP BY a.qid)"""
     bq = scored.replace("FROM qt ", "FROM (SELECT DISTINCT qid, term FROM qt) ")
-    out["compare_deltas"] = f"{kw}, {mrr(ks, 'mk')}, {mrr(bq, 'mb')} SELECT qid, round(mk.v, 6) AS keyword, round(mb.v, 6) AS bm25, round(mb.v - mk.v, 6) AS delta FROM mk JOIN mb USING (qid)"
+    out["compare_deltas"] = f"{kw.replace(ASKED, ASKED_ALL)}, {mrr(ks, 'mk')}, {mrr(bq, 'mb')} SELECT qid, round(mk.v, 6) AS keyword, round(mb.v, 6) AS bm25, round(mb.v - mk.v, 6) AS delta FROM mk JOIN mb USING (qid)"
     out["cached_bags"] = out["embedding_bags"]
     out["filter_sql"] = out["filter_predicates"]
     out["index_norms"] = f"{kw} SELECT id, round(cn, 6) AS norm FROM cn"

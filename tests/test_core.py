@@ -716,3 +716,9 @@ def test_searches_by_bounds(spark, monkeypatch, search):
     want = sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in whole.collect())
     monkeypatch.setattr(retrieve, "best_hits", small)
     assert found() == want
+
+
+def test_deltas_of_every_question(spark, data):
+    """Every golden question is compared."""
+    got = [r.qid for r in catalog.compare_deltas(spark, data).select("qid").collect()]
+    assert sorted(got) == sorted(r.qid for r in catalog.asked_all(spark, data).where("qid IS NOT NULL").collect()) and any(q % 50 for q in got)
