@@ -149,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
     out["bm25_topk"] = f"{ctes} {_ranked(scored, 10, 'bm25')}"
     out["bm25_filtered_topk"] = f"{ctes} {_ranked(_only(scored), 10, 'bm25')}"
     ctes, s = _bm25_scores(True)
-    out["bm25_stopwords_topk"] = f"{ctes} {_ranked(s, 10, 'bm25')}"
+    out["bm25_stopwords_topk"] = f"{ctes.replace(ASKED, ASKED_ALL)} {_ranked(s, 10, 'bm25')}"
     t = TOK.format("query")
     ctes, s = _bm25_scores(terms=f"list_concat({t}, flatten([CASE x WHEN 'parcel' THEN ['package', 'plates'] WHEN 'manual' THEN ['notebook'] ELSE [] END FOR x IN {t}]))")
     out["bm25_synonyms_topk"] = f"{ctes} {_ranked(s, 10, 'bm25')}"
