@@ -250,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
     SELECT qid, rank, id, round(score, 6) AS score, 'rerank:own(bm25)' AS retrieval_method FROM rk JOIN ts USING (qid) WHERE rank <= 5 AND works
     UNION ALL SELECT qid, rank, id, score, 'rerank:failed(own,bm25)' FROM base JOIN ts USING (qid) WHERE rank <= 5 AND NOT works"""
     ctes, s = _bm25_scores(terms=f"CASE WHEN len({keep}) > 0 THEN {keep} ELSE {t} END")
-    out["rewritten_topk"] = f"{ctes} {_ranked(s, 10, 'bm25')}"
+    out["rewritten_topk"] = f"{ctes.replace(ASKED, ASKED_ALL)} {_ranked(s, 10, 'bm25')}"
     said = "regexp_matches(query, '^[HW]')"
     plain = f"CASE WHEN len({keep}) > 0 THEN array_to_string({keep}, ' ') ELSE trim(regexp_replace(query, '\\s+', ' ', 'g')) END"
     out["chat_rewrite"] = f"WITH {QRELS} SELECT qid, query AS query_original, CASE WHEN {said} THEN 'short form' ELSE {plain} END AS query_effective, CASE WHEN {said} THEN 'llm' ELSE 'rule-fallback' END AS rewrite_method FROM q WHERE query IS NOT NULL"
